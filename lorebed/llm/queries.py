@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import mixing, packing, simhash, token_store
 from .common import table
 from .tokens import default_vocabulary
 
@@ -19,9 +19,48 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_ids(table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR))) AS ord
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) * 3.0 AS cap,
+         row_number() OVER (ORDER BY source IS NULL, source) AS rnk
+  FROM d GROUP BY source),
+w AS (SELECT *, CAST((rnk - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (
+             ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+  FROM w),
+f AS (SELECT (SELECT lvl FROM l WHERE weight * lvl <= cap ORDER BY cap / weight, rnk LIMIT 1) AS lvl),
+t AS (
+  SELECT source, source_size, CASE WHEN f.lvl IS NULL THEN cap ELSE least(cap, weight * f.lvl) END AS target FROM l, f),
+g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+r AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS missing,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.size ROWS UNBOUNDED PRECEDING) AS through
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN missing > 0 AND (through <= missing
+       OR through - missing < missing - (through - size)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_token_id_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_token_id_files, op6_simhash_near_dedup, op7_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_source_mixing": OP7_SQL}
