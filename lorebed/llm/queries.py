@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, token_store
+from . import mixing, packing, quality, simhash, token_store, urls, winnowing
 from .common import table
 from .tokens import default_vocabulary
 
@@ -15,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_ids(table(spark, sf_dir, "documents"), default_vocabulary())
 
@@ -28,6 +33,17 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -59,8 +75,17 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_token_id_files, op6_simhash_near_dedup, op7_source_mixing)}
+    own = (
+        op1_best_fit_packing,
+        op3_document_fingerprints,
+        op5_token_id_files,
+        op6_simhash_near_dedup,
+        op7_source_mixing,
+        op9_quality_classifier,
+        op10_url_filter,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": OP7_SQL}
+    return {"op7_source_mixing": OP7_SQL, "op10_url_filter": urls.judge_sql()}
