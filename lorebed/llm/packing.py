@@ -160,7 +160,8 @@ def pack(
         if moves is None:
             moves = step
         else:  # where a bin's bin went
-            moves = moves.join(step.withColumnsRenamed({"b": "i", "i": "j", "s": "t"}), "i", "left").select(
+            onward = step.select(F.col("b").alias("i"), F.col("i").alias("j"), F.col("s").alias("t"))
+            moves = moves.join(onward, "i", "left").select(
                 "b", F.coalesce("j", "i").alias("i"), (F.col("s") + F.coalesce("t", F.lit(0))).alias("s")
             )
     if moves is None:
