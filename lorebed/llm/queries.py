@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, token_store, urls, winnowing
+from . import html_text, mixing, packing, quality, simhash, token_store, urls, winnowing
 from .common import table
 from .tokens import default_vocabulary
 
@@ -20,6 +20,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_ids(table(spark, sf_dir, "documents"), default_vocabulary())
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_best_fit_packing,
         op3_document_fingerprints,
+        op4_html_extraction,
         op5_token_id_files,
         op6_simhash_near_dedup,
         op7_source_mixing,
