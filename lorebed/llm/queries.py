@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, quality, simhash, token_store, urls, winnowing
+from . import html_text, licences, mixing, packing, quality, simhash, token_store, urls, winnowing
 from .common import table
 from .tokens import default_vocabulary
 
@@ -37,6 +37,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_token_id_files,
         op6_simhash_near_dedup,
         op7_source_mixing,
+        op8_licence_scan,
         op9_quality_classifier,
         op10_url_filter,
     )
