@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, licences, mixing, packing, quality, simhash, token_store, urls, winnowing
+from . import html_text, licences, mixing, neighbours, packing, quality, simhash, token_store, urls, winnowing
 from .common import table
 from .tokens import default_vocabulary
 
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ FROM r
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_best_fit_packing,
+        op2_nearest_neighbours,
         op3_document_fingerprints,
         op4_html_extraction,
         op5_token_id_files,
