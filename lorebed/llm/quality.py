@@ -196,25 +196,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
 
 
 def score(docs: DataFrame, model: FactorisationMachine, keep: bool = False) -> DataFrame:
-    """doc_id and score of each row; with ``keep`` all columns of ``docs`` and the score."""
+    """doc_id and score of each row; with ``keep`` all columns of ``docs``, then the score (whatever they are called)."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # WIDTH * (RANK + 1) floats
-    used = docs if keep else docs.select("doc_id", "text")
-    name = "score" if "score" not in used.columns else "model_score"
+    used = docs if keep else docs.select(F.col("doc_id").cast("long"), "text")
+    text = [c.lower() for c in used.columns].index("text")
 
     def run(batches):
         machine = shared.value
         for batch in batches:
             for part in slices(batch):
-                found = machine.scores([features(x) for x in part.column("text").to_pylist()])
-                yield pa.record_batch([*part.columns, pa.array(found, type=pa.float64())], names=[*part.schema.names, name])
+                found = machine.scores([features(x) for x in part.column(text).to_pylist()])
+                columns = [*part.columns, pa.array(found, type=pa.float64())]
+                yield pa.record_batch(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema)
-    return used.mapInArrow(run, f"{kinds}, {name} double")
+    kinds = [f.dataType.simpleString() for f in used.schema] + ["double"]
+    plain = used.toDF(*[f"c{i}" for i in range(len(used.columns))])
+    scored = plain.mapInArrow(run, ", ".join(f"c{i} {kind}" for i, kind in enumerate(kinds)))
+    return scored if keep else scored.toDF("doc_id", "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that a model fitted on ``labels`` doesn't reject."""
+    """The rows of ``docs`` that a model fitted on ``labels`` doesn't reject, all columns kept."""
     scored = score(docs, train(docs, labels, sample), keep=True)
-    return scored.filter(F.col(scored.columns[-1]) >= threshold).select(docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) >= threshold).drop(scored.columns[-1]).toDF(*docs.columns)

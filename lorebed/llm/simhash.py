@@ -50,16 +50,17 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row."""
+    """doc_id, own (a hash of the text, to tell rows of one doc_id apart) and fp (the 64 bits as a signed long) of each row."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                fps = np.array([fingerprint(x, shingle) for x in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.record_batch([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                fps = np.array([fingerprint(x, shingle) for x in part.column(2).to_pylist()], dtype=np.uint64)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "own", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text")
+    return read.mapInArrow(run, "doc_id long, own long, fp long")
 
 
 def spanning_links(members: np.ndarray, others: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
@@ -192,18 +193,45 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots if roots is not None else links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int = 1 << 16) -> DataFrame:
-    """doc_id, fp (signed long) and component_id, the smallest doc_id that links reach, of each row of ``docs`` (doc_id, text)."""
+def members(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int = 1 << 16) -> DataFrame:
+    """doc_id, own, fp, root (the component's fingerprint) and component_id of each row of ``docs`` (doc_id, text)."""
     marked = durable(fingerprints(docs, shingle), "fingerprints")
     distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(near_links(distinct.select("fp"), distance, block))
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = durable(known, "rooted")
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(known.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int = 1 << 16) -> DataFrame:
+    """doc_id, fp (signed long) and component_id, the smallest doc_id that links reach, of each row of ``docs`` (doc_id, text)."""
+    return members(docs, shingle, distance, block).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
     """16 lowercase hex digits of a signed long column."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int = 1 << 16) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, all columns kept.
+
+    Of each component one row stays: that of the smallest doc_id (null last), then of the smallest text hash.
+    """
+    key = ["doc_id", "own"]
+    found = members(docs, shingle, distance, block).groupBy(*key, "root").agg(F.count("*").alias("n"))
+    found = durable(found, "members")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first"))
+    # Rows that go, and rows that stay but are there several times; most rows are neither.
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own"))
+    told = found.join(first, "root").select(F.col("doc_id").alias("k"), F.col("own").alias("k_own"), "n", stays.alias("stays"))
+    told = durable(told.filter("n > 1 or not stays").select("k", "k_own", "stays"), "told")
+    n_told, n_repeated = told.agg(F.count("*"), F.count_if("stays")).first()
+    told = F.broadcast(told) if n_told <= 500_000 else told  # rows of two numbers
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
+    marked = rows.join(told, F.col("id").eqNullSafe(F.col("k")) & (F.col("own") == F.col("k_own")), "left")
+    kept = marked.filter("stays is null").select("row")
+    if n_repeated:
+        kept = kept.union(marked.filter("stays").dropDuplicates(["k", "k_own"]).select("row"))
+    return kept.select("row.*")
