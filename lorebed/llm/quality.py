@@ -208,10 +208,10 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: bool = False) -> D
         for batch in batches:
             for part in slices(batch):
                 found = machine.scores([features(x) for x in part.column(text).to_pylist()])
-                columns = [*part.columns, pa.array(found, type=pa.float64())]
+                columns = [*(part.columns if keep else part.columns[:1]), pa.array(found, type=pa.float64())]
                 yield pa.record_batch(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    kinds = [f.dataType.simpleString() for f in used.schema] + ["double"]
+    kinds = [f.dataType.simpleString() for f in used.schema][: None if keep else 1] + ["double"]
     plain = used.toDF(*[f"c{i}" for i in range(len(used.columns))])
     scored = plain.mapInArrow(run, ", ".join(f"c{i} {kind}" for i, kind in enumerate(kinds)))
     return scored if keep else scored.toDF("doc_id", "score")
