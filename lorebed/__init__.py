@@ -1 +1 @@
-
+"""Corpus analytics and retrieval on PySpark: DataFrames in, DataFrames out."""
