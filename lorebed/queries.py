@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys, language, licence, tags, times, vectors, web
 from .functions import text as tx
-from .operators import catalog, chunks, classify, extract, graph, ingest, search, sessions, stats, sync, validate
+from .operators import catalog, chunks, classify, document_types, extract, graph, ingest, search, sessions, stats, sync, validate
 from .plans.answer import answer
 from .sources.tables import corpus, table, vector_store
 
@@ -792,3 +792,14 @@ def segment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pca_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.points(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+
+
+@query()
+def rule_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir).withColumn("url", F.lit(""))
+    return document_types.classify(docs).select("doc_id", F.explode("types").alias("t")).select("doc_id", "t.type", "t.confidence")
+
+
+@query()
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_types.report(document_types.classify(corpus(spark, sf_dir).withColumn("url", F.lit(""))))
