@@ -104,3 +104,80 @@ def doi(text: Column) -> Column:
     """The first DOI, without the marks that end a sentence; null if there is none."""
     found = F.regexp_extract(text, r"(10\.\d{4,9}/[^\s\"<>]+)", 1)
     return F.nullif(F.regexp_replace(found, r"[.,;:)]+$", ""), F.lit(""))
+
+
+#: Endings of hosts that name themselves without a slash before (fixed values).
+KNOWN_ENDS = (".gov", ".org", ".com", ".edu", ".net", ".io")
+
+
+def online_url(url: Column, base: Column) -> Column:
+    """A full URL: as it is, by the domain in its first segment, or below ``base`` with one slash between."""
+    rooted = F.startswith(url, F.lit("/"))
+    bare = F.when(rooted, F.substr(url, F.lit(2))).otherwise(url)
+    first = F.split_part(bare, F.lit("/"), F.lit(1))
+    dotted = F.contains(first, F.lit(".")) & ~F.startswith(first, F.lit("."))
+    known = F.startswith(first, F.lit("www."))
+    for end in KNOWN_ENDS:
+        known = known | F.endswith(first, F.lit(end))
+    below = F.concat(F.regexp_replace(base, "/$", ""), F.lit("/"), bare)
+    return (
+        F.when((url == "") | url.rlike("^https?://"), url)
+        .when(dotted & (rooted | known), F.concat(F.lit("https://"), bare))
+        .when(F.coalesce(base, F.lit("")) == "", url)
+        .otherwise(below)
+    )
+
+
+def browsable_url(url: Column, base: Column | None = None) -> Column:
+    """An archive's URL as a local path, or below the base URL of its site; null if it names no article."""
+    source, path = F.regexp_extract(url, r"^zim://([^/]*)/(.*)$", 1), F.regexp_extract(url, r"^zim://([^/]*)/(.*)$", 2)
+    local = F.concat(F.lit("/zim/"), source, F.lit("/"), path)
+    if base is not None:
+        web = F.concat(F.regexp_replace(base, "/$", ""), F.lit("/"), F.regexp_replace(path, "^/+", ""))
+        local = F.when(F.coalesce(base, F.lit("")) != "", web).otherwise(local)
+    return F.when(~F.startswith(url, F.lit("zim://")), url).when(url.rlike("^zim://[^/]*/"), local)
+
+
+def is_archived_web(paths: Column) -> Column:
+    """Whether one of an archive's paths starts with a domain."""
+    return F.exists(paths, lambda p: p.rlike(r"^(A/)?(www\.)?[a-z0-9-]+(\.[a-z0-9-]+)*\.(gov|org|com|edu|net|io)/"))
+
+
+def web_asset_candidates(url: Column, domains: Column) -> Column:
+    """Where an asset may be in an archive of web sites, in order: as asked, without slash, below each domain with and without www."""
+    clean = F.regexp_replace(url, "^/+", "")
+    twin = lambda d: F.when(F.startswith(d, F.lit("www.")), F.substr(d, F.lit(5))).otherwise(F.concat(F.lit("www."), d))
+    below = F.flatten(F.transform(domains, lambda d: F.array(F.concat(d, F.lit("/"), clean), F.concat(twin(d), F.lit("/"), clean))))
+    return F.array_distinct(F.concat(F.array(url, clean), below))
+
+
+def wiki_asset_candidates(url: Column) -> Column:
+    """Where an asset may be in an archive of a wiki: prefixes with underscores stand for namespaces."""
+    kind, rest = F.regexp_extract(url, r"^_(\w+?)_/(.*)$", 1), F.regexp_extract(url, r"^_(\w+?)_/(.*)$", 2)
+    name = F.regexp_extract(rest, r"([^/]*)$", 1)
+    common = F.array(url, F.concat(F.lit("-/"), kind, F.lit("/"), rest), F.concat(F.lit("-/"), rest), rest, F.concat(F.lit("A/"), kind, F.lit("/"), rest), F.concat(F.lit("M/"), rest))
+    images = F.array(*[F.concat(F.lit(p), x) for x in (rest, name) for p in ("I/", "I/m/", "A/")], name)
+    styles = F.array(*[F.concat(F.lit(p), rest) for p in ("-/style/", "-/js/", "-/s/", "-/skin/", "-/skins/")])
+    return F.array_distinct(F.when(kind == "", F.array(url)).when(kind == "assets", F.concat(common, images)).otherwise(F.concat(common, styles)))
+
+
+def url_categories(url: Column, html: Column) -> Column:
+    """Segments of the path that are no pages, and what the page's meta elements list, in one form."""
+    from .tags import normalise_all
+
+    parts = F.filter(path_segments(url), lambda p: ~p.rlike(r"\.html?$"))
+    listed = F.regexp_extract(html, r"(?is)<meta[^>]*name=\"(?:keywords|category|categories)\"[^>]*content=\"([^\"]*)\"", 1)
+    return normalise_all(F.concat(parts, F.transform(F.split(listed, ","), F.trim)))
+
+
+def localise_links(html: Column, source: Column) -> Column:
+    """Links from the site's root lead to the source's place on a local server."""
+    return F.regexp_replace(html, r"(?i)((?:href|src)=\")/(?!/)", F.concat(F.lit("$1/local/"), source, F.lit("/")))
+
+
+def without_trackers(html: Column) -> Column:
+    """Scripts and frames of advertisers and trackers are cut out."""
+    hosts = r"(?:google-analytics|googletagmanager|doubleclick|googlesyndication|facebook\.net|hotjar|scorecardresearch)"
+    html = F.regexp_replace(html, rf"(?is)<script[^>]*src=\"[^\"]*{hosts}[^\"]*\"[^>]*>.*?</script>", "")
+    html = F.regexp_replace(html, rf"(?is)<iframe[^>]*{hosts}[^>]*>.*?</iframe>", "")
+    return F.regexp_replace(html, rf"(?is)<script(?![^>]*src=)[^>]*>(?:(?!</script>).)*(?:gtag\(|{hosts})(?:(?!</script>).)*</script>", "")

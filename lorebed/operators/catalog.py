@@ -62,3 +62,27 @@ def first_match(asked: DataFrame, index: DataFrame) -> DataFrame:
     """For each request (id, candidates: an ordered array of URLs) the first that the index (url, entry) has."""
     tried = asked.select("id", F.posexplode("candidates").alias("pos", "url"))
     return tried.join(index, "url").groupBy("id").agg(F.min_by("entry", "pos").alias("entry"), F.min("pos").alias("pos"))
+
+
+def local_sources(folders: DataFrame, master: DataFrame) -> DataFrame:
+    """Sources with a folder (source_id) or in the master table (source, count): orphaned without the one, to be validated without the other."""
+    own = folders.select("source_id").withColumn("f", F.lit(True))
+    known = master.select(F.col("source").alias("source_id"), "count")
+    joined = own.join(known, "source_id", "full")
+    return joined.select(
+        "source_id", F.coalesce("count", F.lit(0)).alias("doc_count"), F.col("f").isNull().alias("is_orphaned"), F.col("count").isNull().alias("needs_validation")
+    )
+
+
+def uploadable(sources: DataFrame) -> DataFrame:
+    """Sources, complete ones first."""
+    complete = F.col("has_backup") & F.col("has_metadata") & F.col("has_manifest")
+    return sources.select("source_id", complete.alias("is_complete")).orderBy(F.desc("is_complete"), "source_id")
+
+
+def repair_urls(docs: DataFrame, prefix: str, base: str) -> DataFrame:
+    """Documents whose url is an archive's get it as local_url, and the site's in its place."""
+    archived = F.startswith("url", F.lit(prefix))
+    site = F.concat(F.lit(base), F.substr("url", F.lit(len(prefix) + 1)))
+    # both from the old value
+    return docs.withColumns({"url": F.when(archived, site).otherwise(F.col("url")), "local_url": F.when(archived, F.col("url")).otherwise(F.col("local_url"))})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys, language, licence, tags, times, vectors, web
 from .functions import text as tx
-from .operators import catalog, chunks, classify, document_types, extract, graph, ingest, search, sessions, stats, sync, validate
+from .operators import catalog, chunks, classify, document_types, extract, graph, ingest, models, papers, search, sessions, stats, sync, validate
 from .plans.answer import answer
 from .sources.tables import corpus, table, vector_store
 
@@ -766,6 +766,85 @@ def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", tx.short_title(F.col("title")).alias("title"), tx.snippet(F.col("content"), 200).alias("snippet"))
 
 
+@query(r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://h/x/' || page_id WHEN 1 THEN 'https://www.a.gov/p/' || page_id WHEN 2 THEN 'https://b.org/p/' || page_id
+ WHEN 3 THEN 'https://base/wiki/p/' || page_id ELSE 'https://base/wiki/c.d/' || page_id END AS online FROM pages""")
+def online_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 5
+    path = F.when(k == 0, "https://h/x/").when(k == 1, "/www.a.gov/p/").when(k == 2, "b.org/p/").when(k == 3, "/p/").otherwise("c.d/")
+    return table(spark, sf_dir, "pages").select("page_id", web.online_url(F.concat(path, n), F.lit("https://base/wiki/")).alias("online"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/zim/s/A/' || page_id WHEN 1 THEN 'https://h/' || page_id END AS url FROM pages")
+def browsable_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 3
+    url = F.when(k == 0, F.concat(F.lit("zim://s/A/"), n)).when(k == 1, F.concat(F.lit("https://h/"), n)).otherwise("zim://s")
+    return table(spark, sf_dir, "pages").select("page_id", web.browsable_url(url).alias("url"))
+
+
+@query("""SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'a.org/css/' || page_id ELSE NULL END AS entry FROM pages WHERE page_id % 2 = 0""")
+def asset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("n", F.col("page_id").cast("string"))
+    asked = pages.select(F.col("page_id").alias("id"), web.web_asset_candidates(F.concat(F.lit("/css/"), "n"), F.array(F.lit("www.b.org"), F.lit("www.a.org"))).alias("candidates"))
+    index = pages.filter("page_id % 2 = 0").select(F.concat(F.lit("a.org/css/"), "n").alias("url"), F.concat(F.lit("a.org/css/"), "n").alias("entry"))
+    return catalog.first_match(asked, index).select(F.col("id").alias("page_id"), "entry")
+
+
+@query(f"""WITH c AS (SELECT page_id, unnest(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '' AND NOT regexp_matches(p, '\\.html?$'))) AS raw FROM pages),
+t AS (SELECT page_id, lower(trim(raw)) AS tag FROM c) SELECT DISTINCT page_id, {_normalised("tag")} AS category FROM t""")
+def url_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(web.url_categories(F.col("url"), F.col("html"))).alias("category"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:10], lambda x: trim(x)) AS ls FROM documents)
+SELECT doc_id, coalesce(list_filter(ls, lambda x: length(x) > 10 AND length(x) < 200 AND NOT regexp_matches(x, '(?i)page|vol\\.|volume|journal|copyright|doi:'))[1], '') AS title FROM l""")
+def paper_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers.parts(table(spark, sf_dir, "documents")).select("doc_id", "title")
+
+
+@query(r"""SELECT doc_id, length(trim(l)) > 3 AND len(regexp_extract_all(trim(l), '\p{L}')) * 2 >= length(trim(l)) AND regexp_matches(trim(l), '\S\s+\S') AND NOT regexp_matches(trim(l), '^v?\d+([./-]\d+)+$') AS worth
+FROM (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents)""")
+def translatable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", models.should_translate(F.col("title")).alias("worth"))
+
+
+@query(f"""WITH {_MANIFESTS}, f AS (SELECT source_id FROM m WHERE has_manifest), x AS (SELECT source AS source_id, n AS count FROM s WHERE k % 5 <> 1)
+SELECT coalesce(f.source_id, x.source_id) AS source_id, coalesce(x.count, 0) AS doc_count, f.source_id IS NULL AS is_orphaned, x.source_id IS NULL AS needs_validation
+FROM f FULL JOIN x ON f.source_id = x.source_id""")
+def local_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = _manifests(spark, sf_dir).filter("has_manifest").select("source_id")
+    master = stats.source_stats(corpus(spark, sf_dir)).join(table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("k")), "source")
+    return catalog.local_sources(folders, master.filter("k % 5 <> 1"))
+
+
+@query(f"""WITH {_MANIFESTS} SELECT source_id, (has_backup AND has_metadata AND has_manifest) AS is_complete FROM m WHERE has_manifest ORDER BY 2 DESC, 1 LIMIT 10""")
+def uploadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.uploadable(_manifests(spark, sf_dir).filter("has_manifest")).limit(10)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://wiki/' || page_id ELSE 'https://h/' || page_id END AS url, CASE WHEN page_id % 2 = 0 THEN 'zim://w/' || page_id END AS local_url FROM pages""")
+def repaired_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("zim://w/"), n)).otherwise(F.concat(F.lit("https://h/"), n))
+    docs = table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.lit(None).cast("string").alias("local_url"))
+    return catalog.repair_urls(docs, "zim://w/", "https://wiki/")
+
+
+@query("""WITH a AS (SELECT source, count(*) AS count, sum(length(text)) AS chars FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1), b AS (SELECT source, count(*) AS count, sum(length(text)) AS chars FROM documents WHERE source <> 'src5' GROUP BY 1)
+SELECT count(*) FILTER (a.source IS NULL) AS added, count(*) FILTER (b.source IS NULL) AS removed, count(*) FILTER (a.source IS NOT NULL AND b.source IS NOT NULL AND (a.count <> b.count OR a.chars <> b.chars)) AS updated,
+ count(*) FILTER (a.count = b.count AND a.chars = b.chars) AS unchanged FROM a FULL JOIN b ON a.source = b.source""")
+def master_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir)
+    return stats.stats_changes(stats.source_stats(docs.filter("doc_id % 3 <> 0")), stats.source_stats(docs.filter("source <> 'src5'")))
+
+
+@query("""SELECT event_id, CASE WHEN value < 10 THEN 'offline' WHEN value < 20 THEN 'disconnected' WHEN value < 40 THEN 'unstable' ELSE 'online' END AS state FROM events""")
+def connection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, no = F.col("value"), F.lit(False)
+    mode = F.when(v < 10, "offline_only").when(v < 20, "online_only").otherwise("hybrid")
+    failures = F.when(v < 40, 2).otherwise(0)
+    return table(spark, sf_dir, "events").select("event_id", classify.connection_state(mode, no, no, v >= 20, failures, no, no).alias("state"))
+
+
 # --- what SQL can't express --------------------------------------------------------------------------------------
 
 
@@ -803,3 +882,15 @@ def rule_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_types.report(document_types.classify(corpus(spark, sf_dir).withColumn("url", F.lit(""))))
+
+
+@query()
+def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two numbered headers put before their text."""
+    page = F.concat(F.lit("1\nFirst heading here\n"), "text", F.lit("\n1.1 Second heading here\n"), "text")
+    return papers.split_sections(table(spark, sf_dir, "documents").select("doc_id", F.array(page).alias("pages")))
+
+
+@query()
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.embed(table(spark, sf_dir, "documents"), models.Hashing)
