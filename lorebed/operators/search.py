@@ -254,3 +254,23 @@ def resolve_sources(
     if mode == "none" and not chosen:
         return everything()
     return (None if chosen == known else sorted(chosen)), notes
+
+
+def search_with_fallback(docs: DataFrame, query: str, k: int, sources: list[str] | None, vectors: DataFrame | None, embedder=None) -> DataFrame:
+    """Vector search where vectors and a model are there and find something, else keyword search; both as doc_id, score, pos."""
+    if vectors is not None and embedder is not None:
+        asked = [float(x) for x in embedder.embed([query])[0]]
+        keep = F.col("source").isin(*sources) if sources else None
+        near = vector_top(vectors, asked, k, keep=keep).select(F.col("id").alias("doc_id"), "score", "pos")
+        if any(asked) and not near.isEmpty():
+            return docs.join(F.broadcast(near), "doc_id")  # k rows
+    return keyword_top(docs, query, k, sources)
+
+
+def similarity_request(message: str) -> int | None:
+    """The number of the result that a message wants more like ("more like #2"); 1 if it names none, None if it isn't such a message."""
+    low = message.lower()
+    if not re.search(r"\b(more like|similar to|like (this|that|#?\d+))\b", low):
+        return None
+    number = re.search(r"#?\s*(\d+)", low)
+    return int(number[1]) if number else 1

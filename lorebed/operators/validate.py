@@ -79,3 +79,27 @@ def chain_problems(steps: DataFrame, order: dict[str, list[str]]) -> DataFrame:
 
 def valid_source_id(source_id: Column) -> Column:
     return F.coalesce(source_id.rlike(r"^[a-z0-9][a-z0-9_-]*$"), F.lit(False))
+
+
+#: Files that a complete pack has (fixed values).
+PACK_FILES = ("_manifest.json", "_metadata.json", "_index.json")
+
+
+def completeness(files: DataFrame) -> DataFrame:
+    """Which files each source (source_id, filename) has, its vector dimensions, and whether it is complete."""
+    name = F.col("filename")
+    dimension = F.regexp_extract(name, r"^_vectors_?(\d*)\.json$", 1)
+    flags = [F.bool_or(name == f).alias("has" + f.split(".")[0]) for f in PACK_FILES]
+    vectors = F.sort_array(F.collect_set(F.when(F.startswith(name, F.lit("_vectors")), F.when(dimension == "", 1536).otherwise(dimension.try_cast("int")))))
+    pages = F.bool_or(name.rlike(r"(?i)\.(html?|pdf|zim)$"))
+    found = files.groupBy("source_id").agg(*flags, vectors.alias("dimensions"), pages.alias("has_content"))
+    whole = F.col("has_manifest") & F.col("has_metadata") & F.col("has_content") & (F.size("dimensions") > 0)
+    return found.withColumn("is_complete", whole)
+
+
+def localisable(sources: DataFrame, language: str) -> DataFrame:
+    """source_id and whether a source can be localised: indexed, no localisation itself, another language, none there yet."""
+    done = sources.filter(F.col("parent_source").isNotNull() & (F.col("language") == language)).select(F.col("parent_source").alias("source_id"), F.lit(True).alias("done"))
+    own = sources.join(done.distinct(), "source_id", "left")
+    may = F.coalesce("has_metadata", F.lit(False)) & F.coalesce("has_backup", F.lit(False)) & F.col("parent_source").isNull() & (F.col("language") != language) & F.col("done").isNull()
+    return own.select("source_id", may.alias("can_localise"))

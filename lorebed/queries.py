@@ -11,6 +11,7 @@ from .functions import keys, language, licence, tags, times, vectors, web
 from .functions import text as tx
 from .operators import catalog, chunks, classify, document_types, extract, graph, ingest, models, papers, search, sessions, stats, sync, validate
 from .plans.answer import answer
+from .sources import archives
 from .sources.tables import corpus, table, vector_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -845,6 +846,81 @@ def connection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", classify.connection_state(mode, no, no, v >= 20, failures, no, no).alias("state"))
 
 
+@query("""SELECT source AS pdf, CAST(sum(length(trim(text))) AS BIGINT) AS total_chars, count(*) FILTER (length(trim(text)) > 0) AS text_pages, count(*) AS pages, sum(length(trim(text))) >= 500 AS usable FROM documents GROUP BY 1""")
+def pdf_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.pdf_text_stats(table(spark, sf_dir, "documents").select(F.col("source").alias("pdf"), "text"))
+
+
+@query("""SELECT conv_id AS video_id, 'dir/' || conv_id || CASE WHEN conv_id % 4 = 0 THEN '.json' WHEN conv_id % 4 = 1 THEN '.srt' ELSE '.txt' END AS path FROM conversations GROUP BY conv_id""")
+def best_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    k = F.col("conv_id") % 4
+    ends = F.when(k == 0, F.array(F.lit(".vtt"), F.lit(".json"))).when(k == 1, F.array(F.lit(".txt"), F.lit(".srt"), F.lit(".vtt"))).otherwise(F.array(F.lit(".txt"), F.lit(".pdf")))
+    return archives.best_captions(videos.select(F.col("conv_id").alias("video_id"), "conv_id", F.explode(ends).alias("e")).select("video_id", F.concat(F.lit("dir/"), F.col("conv_id").cast("string"), "e").alias("path")))
+
+
+@query("""SELECT conv_id AS video_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, turn * 2.5 AS start_sec, turn * 2.5 + 2 AS end_sec, trim(text) AS text FROM conversations WHERE trim(text) <> ''""")
+def json_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.struct((F.col("turn") * 2.5).cast("double").alias("start"), F.lit(2.0).alias("duration"), "text")
+    lists = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("video_id")).agg(F.sort_array(F.collect_list(turn)).alias("segments"))
+    return archives.json_captions(lists.select("video_id", F.to_json(F.struct("segments")).alias("text")))
+
+
+@query("SELECT DISTINCT source AS source_id FROM documents")
+def published_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    listing = docs.select(F.concat("source", F.lit("/pages/"), F.col("doc_id").cast("string")).alias("key"))
+    return archives.published(docs.select(F.col("source").alias("source_id")).limit(0), listing)
+
+
+@query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS total FROM documents)
+SELECT doc_id FROM n WHERE i >= total // 10 AND (i - total // 10) % (total // 20) = 0 AND (i - total // 10) // (total // 20) < 10""")
+def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.systematic(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 10)
+
+
+@query("""WITH c AS (SELECT count(*) AS sitemaps, CAST(sum(CASE WHEN page_id < 5 THEN page_id % 7 + 1 END) AS BIGINT) AS counted FROM pages)
+SELECT sitemaps, counted, CAST(CASE WHEN sitemaps > 5 THEN round(counted / least(sitemaps, 5) * sitemaps) ELSE counted END AS BIGINT) AS estimated FROM c""")
+def sitemap_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.repeat(F.lit("<url><loc> https://h/x </loc></url>"), (F.col("page_id") % 7 + 1).cast("int"))
+    return archives.sitemap_profile(table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), text.alias("text")))
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.keep_first(table(spark, sf_dir, "documents").select("text", "doc_id"), ["text"], "doc_id")
+
+
+@query("""SELECT source AS source_id, true AS has_manifest, bool_or(doc_id % 20 = 1) AS has_metadata, false AS has_index, array_to_string(list_sort(list_distinct(list(CASE WHEN doc_id % 20 = 2 THEN 1536 WHEN doc_id % 20 = 3 THEN 768 END))), ',') AS dimensions,
+ bool_or(doc_id % 20 >= 4) AS has_content, bool_or(doc_id % 20 = 1) AND bool_or(doc_id % 20 >= 4) AND bool_or(doc_id % 20 IN (2, 3)) AS is_complete FROM documents GROUP BY 1""")
+def pack_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 20
+    name = F.when(k == 0, "_manifest.json").when(k == 1, "_metadata.json").when(k == 2, "_vectors.json").when(k == 3, "_vectors_768.json").otherwise("p.html")
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.explode(F.array(name, F.lit("_manifest.json"))).alias("filename"))
+    found = validate.completeness(files)
+    return found.withColumn("dimensions", F.array_join(F.transform("dimensions", lambda d: d.cast("string")), ","))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id DESC LIMIT 10")
+def recent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source").orderBy(F.desc("doc_id")).limit(10)
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents ORDER BY length(text) DESC, doc_id LIMIT 10")
+def longest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n")).orderBy(F.desc("n"), "doc_id").limit(10)
+
+
+@query(f"WITH {DOCS} SELECT doc_id FROM docs WHERE contains(lower(title), 'the')")
+def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).filter(F.contains(F.lower("title"), F.lit("the"))).select("doc_id")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
+def fetch_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_store(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").select("id")
+
+
 # --- what SQL can't express --------------------------------------------------------------------------------------
 
 
