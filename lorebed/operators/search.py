@@ -122,14 +122,16 @@ def similar_to(vectors: DataFrame, key, k: int, metric: str = "l2") -> DataFrame
     return vector_top(vectors, own, k, metric, F.col("id") != key)
 
 
-def rerank(hits: DataFrame, metadata: DataFrame, preferred: str | None = None) -> DataFrame:
+def rerank(hits: DataFrame, metadata: DataFrame | None, preferred: str | None = None) -> DataFrame:
     """Raise hits of the preferred document type and lower the others; their own score stays as original_score.
 
     ``hits``: doc_id, score, pos, ...; ``metadata``: doc_id, doc_type. Hits are few, so they are the side that is
-    sent to the metadata; a hit without metadata is an article.
+    sent to the metadata; a hit without metadata is an article. Without metadata, hits bring their doc_type.
     """
-    known = metadata.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi").select("doc_id", "doc_type")
-    typed = hits.join(known, "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit("article")))
+    typed = hits
+    if metadata is not None:
+        known = metadata.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi").select("doc_id", "doc_type")
+        typed = hits.join(known, "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit("article")))
     change = F.when(F.col("doc_type") == (preferred or "guide"), BOOST).otherwise(-PENALTY)
     typed = typed.withColumn("original_score", F.col("score")).withColumn("score", F.col("score") + change)
     return typed.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "pos")))
@@ -173,7 +175,7 @@ def diversity_cut(hits: DataFrame, per_source: int = PER_SOURCE, results: int =
     return cut.withColumn("pos", F.col("_place").cast("int")).drop("_n", "_round", "_seen", "_place")
 
 
-def prepare(hits: DataFrame, metadata: DataFrame, query: str, preferred: str | None = None) -> DataFrame:
+def prepare(hits: DataFrame, metadata: DataFrame | None, query: str, preferred: str | None = None) -> DataFrame:
     """What follows every search: re-rank, quality, diversity."""
     return diversity_cut(quality_cut(rerank(hits, metadata, preferred), query))
 

@@ -9,22 +9,20 @@ from ..operators import search
 from ..operators.classify import doc_type
 
 
-def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id and doc_type of documents (doc_id, title, content)."""
-    return docs.select("doc_id", doc_type(F.col("title"), F.col("content")).alias("doc_type"))
+def _typed(hits: DataFrame) -> DataFrame:
+    """Hits with their document type: it follows from what a hit holds, so the corpus is scanned once."""
+    return hits.withColumns({"doc_type": doc_type(F.col("title"), F.col("content")), "url": F.lit(None).cast("string")})
 
 
 def answer(docs: DataFrame, question: str, sources: list[str] | None = None, preferred: str | None = None) -> DataFrame:
     """The articles that a question gets by keyword search, best first."""
-    hits = search.keyword_top(docs, question, search.CANDIDATES, sources).withColumn("url", F.lit(None).cast("string"))
-    # types are needed of the hits alone
-    typed = docs.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi")  # at most CANDIDATES rows
-    return search.prepare(hits, metadata(typed), question, preferred or search.intent_text(question))
+    hits = search.keyword_top(docs, question, search.CANDIDATES, sources)
+    return search.prepare(_typed(hits), None, question, preferred or search.intent_text(question))
 
 
 def answer_by_vector(docs: DataFrame, vectors: DataFrame, asked: list[float], question: str, metric: str = "l2") -> DataFrame:
     """The same by vector search; ``vectors``: id, embedding; ids are doc_ids."""
     found = search.vector_top(vectors.select("id", "embedding"), asked, search.CANDIDATES, metric)
     near = found.select(F.col("id").alias("doc_id"), "score", "pos")
-    hits = docs.join(F.broadcast(near), "doc_id").withColumn("url", F.lit(None).cast("string"))  # CANDIDATES rows
-    return search.prepare(hits, metadata(hits), question, search.intent_text(question))
+    hits = docs.join(F.broadcast(near), "doc_id")  # CANDIDATES rows
+    return search.prepare(_typed(hits), None, question, search.intent_text(question))

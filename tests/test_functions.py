@@ -111,7 +111,7 @@ def test_youtube(value, url, want):
 @pytest.mark.parametrize(
     "name,url,title",
     [
-        ("About_me.htm.html", "/About_me.htm", "About me"), ("www.ready.gov_alerts_fire.html", "https://www.ready.gov/alerts/fire", "www.ready.gov alerts fire"),
+        ("About_me.htm.html", "/About_me.htm", "About me"), ("www.a.gov_alerts_fire.html", "https://www.a.gov/alerts/fire", "www.a.gov alerts fire"),
         ("index.html", "/index", "index"), (".hidden_x.html", "/.hidden_x", ".hidden x"),
     ],
 )

@@ -86,13 +86,13 @@ def test_vectors(spark):
 
 
 def test_sources():
-    known = ["appropedia", "ready", "wiki"]
+    known = ["alpha", "beta", "wiki"]
     assert search.resolve_sources(known) == (None, [])
     assert search.resolve_sources(known, only=[]) == ([], [])
     assert search.resolve_sources(known, only=["wiki"]) == (["wiki"], [])
     chosen, notes = search.resolve_sources(known, only=["wikki"])
     assert chosen is None and "Did you mean 'wiki'" in notes[0] and len(notes) == 2
-    assert search.resolve_sources(known, exclude=["wiki"])[0] == ["appropedia", "ready"]
+    assert search.resolve_sources(known, exclude=["wiki"])[0] == ["alpha", "beta"]
     assert search.resolve_sources(known, "none", include=["wiki"])[0] == ["wiki"]
     assert search.resolve_sources(known, "none") == (None, [])
     chosen, notes = search.resolve_sources(known, exclude=["wiki"], include=["wiki"])
