@@ -6,8 +6,10 @@ take goes to the others by weight, until none is above. The level at which that
 the order in which they clamp, and running sums tell from where on nobody does.
 
 A source repeats each document floor(target / size) times, and some once more: documents stand in a seeded order, and those
-go in whose words, added up, end at or before the fraction that is missing, or are nearer to it than without the last. The
-order is never made in one task: sums by source and the order's first digits place each part of it.
+go in whose words, added up, end at or before the fraction that is missing; then one more goes in, of those left the one
+whose size is nearest to what is still missing, if that comes nearer. Rows of one doc_id and size go in together. The order
+is never made in one task: sums by source and the order's first digits tell where it is cut, and a row's own place
+in the order then tells whether it goes in.
 
 Nulls and other cases: a null or wordless text has size 0 and is taken 0 words; a null source is a source, the last; null
 doc_ids, repeated doc_ids and repeated rows are mixed like others (rows that agree in everything are interchangeable); an
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
-PARTS = 4  # hex digits that part the seeded order: 65,536 parts of each source
+PARTS = 3  # hex digits that part the seeded order: 4,096 parts of each source
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], epochs: float) -> DataFrame:
@@ -51,57 +53,89 @@ def targets(sources: DataFrame, weights: tuple[float, ...], epochs: float) -> Da
     return staged.withColumn("target", target).select("source", "source_size", "rank", "weight", "total", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, seed: int = 42) -> DataFrame:
-    """How often the mix takes each row of ``docs`` (doc_id, text, source).
-
-    Returns per row: doc_id, size, source, source_size, target (its source's), repeats, taken.
-    """
+def _measured(docs: DataFrame, seed: int) -> DataFrame:
+    """source, size and order of each row, with the row's id."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    rows = durable(docs.select("doc_id", "source", size.alias("size"), order.alias("order")), "sizes")
-    return assign(rows, weights, epochs).select("doc_id", "size", "source", "source_size", "target", "repeats", "taken")
+    return docs.select("doc_id", "source", size.alias("size"), order.alias("order"))
 
 
-def assign(rows: DataFrame, weights: tuple[float, ...], epochs: float) -> DataFrame:
-    """Add source_size, target, repeats and taken to rows of (source, size, order, ...)."""
+def goals(rows: DataFrame, weights: tuple[float, ...], epochs: float) -> DataFrame:
+    """One row a source: s, source_size, target, whole repeats, and which rows (source, size, order) go in once more.
+
+    Those are the rows up to (cut_order, cut_size), and those at (pick_order, pick_size).
+    """
     part = F.substring("order", 1, PARTS)
     sums = durable(rows.groupBy("source", part.alias("part")).agg(F.sum("size").alias("words")), "words")
     sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sources, weights, epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = goal.withColumn("whole", F.floor(rate).cast("int"))
-    goal = durable(goal.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size")), "goals")
+    goal = goal.withColumn("whole", F.floor(rate).cast("long"))
+    goal = goal.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
+    goal = durable(goal.withColumnRenamed("source", "s").select("s", "source_size", "target", "whole", "missing"), "goals")
+    # Of each source, one part holds the place where the missing words end: all before it go in, none after it.
     running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    # Of each source, one part holds the place where the missing words end: all before it go in, none after it.
-    last = sums.join(goal, sums.source.eqNullSafe(goal.source)).filter("before <= missing and missing < before + words")
-    edge = last.select(sums.source.alias("source"), F.col("part").alias("edge"), "before")
-    goal = goal.join(edge, goal.source.eqNullSafe(edge.source), "left").select(goal["*"], "edge", "before")
+    last = sums.join(goal, F.col("source").eqNullSafe(F.col("s"))).filter("before <= missing and missing < before + words")
+    edges = durable(last.select("s", "missing", F.col("part").alias("edge"), "before"), "edges")
     # One row a source, so small unless sources are many; Spark then joins by shuffle and splits hot ones.
-    goal = durable(goal.withColumnRenamed("source", "s"), "edges")
+    few = (lambda df: F.broadcast(df)) if goal.count() <= 100_000 else (lambda df: df)
+    # Only the edge's own part is put in order: a 4,096th of a source.
+    inside = rows.join(few(edges), F.col("source").eqNullSafe(F.col("s")) & (part == F.col("edge")))
+    line = Window.partitionBy("s").orderBy("order", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = inside.withColumn("through", F.col("before") + F.sum("size").over(line)).filter("through <= missing")
+    cut = fits.groupBy("s").agg(F.max("through").alias("got"), F.max(F.struct("order", "size")).alias("cut"))
+    cut = cut.select(F.col("s").alias("cs"), "got", "cut")
+    own = edges.join(cut, F.col("s").eqNullSafe(F.col("cs")), "left").select(
+        F.col("s").alias("es"),
+        F.coalesce("cut.order", "edge").alias("cut_order"),  # the edge itself comes before every order in it
+        F.coalesce("cut.size", F.lit(-1)).alias("cut_size"),
+        (F.col("missing") - F.coalesce("got", "before")).alias("rest"),
+    )
+    goal = goal.join(own, F.col("s").eqNullSafe(F.col("es")), "left").drop("es")
+    goal = goal.withColumns({"cut_order": F.coalesce("cut_order", F.lit("")), "cut_size": F.coalesce("cut_size", F.lit(-1))})
+    goal = durable(goal.withColumn("rest", F.coalesce("rest", F.lit(0.0))), "cuts")
+    # Of the rows left, the one nearest in size to the rest.
+    left = rows.join(few(goal), F.col("source").eqNullSafe(F.col("s"))).filter(~_up_to_cut() & (F.col("size") > 0) & (F.col("rest") > 0))
+    nearest = left.groupBy("s").agg(F.min(F.struct(F.abs(F.col("rest") - F.col("size")).alias("gap"), "order", "size")).alias("n"), F.first("rest").alias("rest"))
+    nearest = durable(nearest.filter("n.gap < rest").select(F.col("s").alias("ns"), "rest", F.col("n.order").alias("po"), F.col("n.size").alias("ps")), "picks")
+    at = F.col("source").eqNullSafe(F.col("ns")) & (F.col("order") == F.col("po")) & (F.col("size") == F.col("ps"))
+    alike = rows.join(few(nearest), at).groupBy("ns", "rest", "po", "ps").agg(F.count(F.lit(1)).alias("m"))
+    alike = alike.filter(F.abs(F.col("rest") - F.col("m") * F.col("ps")) < F.col("rest"))
+    goal = goal.join(alike.select("ns", "po", "ps"), F.col("s").eqNullSafe(F.col("ns")), "left")
+    return durable(goal.select("s", "source_size", "target", "whole", "cut_order", "cut_size", F.col("po").alias("pick_order"), F.col("ps").alias("pick_size")), "mix")
+
+
+def _up_to_cut():
+    return (F.col("order") < F.col("cut_order")) | ((F.col("order") == F.col("cut_order")) & (F.col("size") <= F.col("cut_size")))
+
+
+def assign(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """Add source_size, target, repeats and taken to rows of (source, size, order, ...)."""
     goal = F.broadcast(goal) if goal.count() <= 100_000 else goal
-    placed = rows.withColumn("part", part).join(goal, F.col("source").eqNullSafe(F.col("s")))
-    at_edge = F.col("part") == F.col("edge")
-    # Only the edge's own part is put in order: a 65,536th of a source.
-    inside = placed.filter(at_edge)
-    line = Window.partitionBy("s").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("through", F.col("before") + F.sum("size").over(line))
-    near = F.col("through") - F.col("missing") < F.col("missing") - (F.col("through") - F.col("size"))
-    inside = inside.withColumn("more", ((F.col("through") <= F.col("missing")) | near).cast("int")).drop("through")
-    outside = placed.filter(F.col("edge").isNull() | ~at_edge)
-    # No edge: nothing is missing, or all of the source is.
-    first = F.when(F.col("edge").isNull(), F.col("missing") > 0).otherwise(F.col("part") < F.col("edge"))
-    outside = outside.withColumn("more", first.cast("int"))
-    both = inside.unionByName(outside)
-    repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0)
-    return both.withColumn("repeats", repeats.cast("int")).withColumn("taken", F.col("size") * F.col("repeats"))
+    placed = rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
+    picked = (F.col("order") == F.col("pick_order")) & (F.col("size") == F.col("pick_size"))
+    more = _up_to_cut() | F.coalesce(picked, F.lit(False))
+    repeats = F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0)
+    return placed.withColumn("repeats", repeats.cast("int")).withColumn("taken", F.col("size") * F.col("repeats"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, seed: int = 42) -> DataFrame:
+    """How often the mix takes each row of ``docs`` (doc_id, text, source).
+
+    Returns per row: doc_id, size, source, source_size, target (its source's), repeats, taken.
+    """
+    rows = durable(_measured(docs, seed), "sizes")
+    taken = assign(rows, goals(rows, weights, epochs))
+    return taken.select("doc_id", "size", "source", "source_size", "target", "repeats", "taken")
 
 
 def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns kept."""
+    goal = goals(durable(_measured(docs, seed), "sizes"), weights, epochs)
+    nested = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    rows = docs.select(F.struct("*").alias("row"), "source", size.alias("size"), order.alias("order"))
-    # Only the sums are stored; the rows themselves are read again.
-    taken = assign(rows, weights, epochs).filter("repeats > 0")
+    rows = nested.select("row", "source", size.alias("size"), order.alias("order"))
+    taken = assign(rows, goal).filter("repeats > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select("row.*")

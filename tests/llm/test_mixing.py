@@ -45,7 +45,7 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark, make):
         taken[r.source] = taken.get(r.source, 0) + r.taken
         target[r.source] = r.target
         assert 0 <= r.taken <= 3 * r.size and r.taken == r.size * r.repeats
-    assert all(abs(taken[s] - target[s]) <= 40 for s in taken)
+    assert all(abs(taken[s] - target[s]) <= 2 for s in taken)  # some document fits almost exactly
     again = mixing.mix(docs.repartition(7)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     repeated = mixing.repeat_rows(docs)
