@@ -4,8 +4,8 @@ Pages are read into elements; every block element's subtree is hashed from its t
 hashes. Spark counts, for each host, on how many of its pages a subtree occurs; those on at least ``share`` of the host's pages
 (and ``least`` pages) are the site's template and are deleted, along with what markup itself names as no article: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Prose inside ``<article>`` or
-``<main>`` stays even if it recurs (articles are copied, and quote each other); where a page marks neither, all that is left
-of the body is its text, and a page that would lose everything to its template keeps what the markup rules leave.
+``<main>``, or a container named so, stays even if it recurs (articles are copied, and quote each other); where a page marks
+none, all that is left of the body is its text, and a page that would lose everything to its template keeps what the markup rules leave.
 
 A host has at most (mean subtrees a page) / ``share`` template hashes, so a host's list is bounded.
 
@@ -56,8 +56,18 @@ DROPPED_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent"
     " gdpr notice notices alert sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment"
     " comments commentlist discussion disqus respond replies share sharing social related recommended newsletter subscribe signup"
-    " popup modal overlay widget login search pagination pager skip complementary contentinfo toolbar".split()
+    " popup modal overlay widget login search pagination pager skip complementary contentinfo toolbar responses feedback".split()
 )
+#: Of those, what a paragraph itself is dropped for.
+DROPPED_PARAGRAPHS = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
+    " notice notices comment comments".split()
+)
+#: Headings and marked words stay, whatever they are called.
+KEPT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 b i em strong a".split())
+CONTAINERS = frozenset("div section td".split())
+#: Names of containers that hold the article where no element says so.
+CONTENT_NAMES = frozenset("article story post entry content main".split())
 #: A start tag of these ends an open paragraph; of the same kind, an open item, row or cell.
 _ENDS_P = BLOCKS - {"caption", "tbody", "tfoot", "thead", "tr", "head", "html", "body", "legend"}
 _ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -69,28 +79,32 @@ class Page:
 
     def __init__(self, source: str | None, hashed: bool = True):
         self.blocks: list[str] = []
-        self.flags: list[tuple[bool, bool]] = []  # of each block: in dropped markup, in an article or main element
+        self.flags: list[tuple[bool, int]] = []  # of each block: in dropped markup; in an article (2: by its element, 1: by name)
         self.subtrees: list[tuple[int, int, int, bool]] = []  # hash, first block, block after the last, may be deleted
         self._hashed = hashed
-        self._open: list[list] = []  # [tag, dropped, main, first block, parts]
+        self._open: list[list] = []  # [tag, dropped, main, first block, parts, within a dropped part of a line]
         self._text: list[str] = []
         self._count: dict[str, int] = {}
         self._read(source or "")
 
+    def _say(self, text: str) -> None:
+        if not (self._open and self._open[-1][5]):
+            self._text.append(text)
+
     def _flush(self) -> None:
         if self._text:
             raw = "".join(self._text)
             self._text.clear()
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                top = self._open[-1] if self._open else ("", False, False, 0, [])
+                top = self._open[-1] if self._open else ("", False, 0, 0, [], False)
                 self.blocks.append(text)
                 self.flags.append((top[1], top[2]))
                 if self._hashed and self._open:
                     top[4].append(text)
 
     def _close(self) -> None:
-        tag, dropped, inside, first, parts = self._open[-1]
+        tag, dropped, inside, first, parts, _ = self._open[-1]
         if tag in BLOCKS:
             self._flush()
         self._open.pop()
@@ -128,20 +142,29 @@ class Page:
             self._text.append(" ")
         if tag in VOID:
             return
-        _, dropped, inside, _, _ = self._open[-1] if self._open else ("", False, False, 0, None)
+        _, dropped, inside, _, _, mute = self._open[-1] if self._open else ("", False, 0, 0, None, False)
+        before = dropped
         names = ""
         if attributes and not attributes.isspace():
             names = " ".join(_NAMED.findall(attributes)).lower()
-        named = bool(names) and not DROPPED_NAMES.isdisjoint(_TOKENS.findall(names))
+        words = set(_TOKENS.findall(names)) if names else frozenset()
+        named = not DROPPED_NAMES.isdisjoint(words)
         if not dropped:
             if tag == "header":
                 dropped = named or not inside  # an article's own header holds its heading
             elif tag in FRAMES:
-                dropped = tag == "article" and named and not {"comment", "comments"}.isdisjoint(_TOKENS.findall(names))
-            else:
-                dropped = tag in DROPPED_TAGS or (named and not re.fullmatch("h[1-6]|p|b|i|em|strong|a", tag))
-        inside = inside or tag in MAIN or (tag not in FRAMES and '"main"' in names)
-        self._open.append([tag, dropped, inside, len(self.blocks), [tag + " " + names] if self._hashed else []])
+                dropped = tag == "article" and not {"comment", "comments"}.isdisjoint(words)
+            elif tag == "p":
+                dropped = not DROPPED_PARAGRAPHS.isdisjoint(words)
+            elif tag in DROPPED_TAGS:
+                dropped = True
+            elif tag not in KEPT_TAGS:
+                dropped = named or ("header" in words and not inside)
+        if tag in MAIN or words == {"main"}:
+            inside = 2
+        elif tag in CONTAINERS and not CONTENT_NAMES.isdisjoint(words):
+            inside = max(inside, 1)
+        self._open.append([tag, dropped, inside, len(self.blocks), [tag + " " + names] if self._hashed else [], mute or (dropped and not before and tag not in BLOCKS)])
         self._count[tag] = self._count.get(tag, 0) + 1
 
     def _within(self, tag: str, stops: set[str]) -> bool:
@@ -162,10 +185,10 @@ class Page:
                 while 0 <= rest < end - 1 and not (source[rest + 1].isalpha() or source[rest + 1] in "/!?"):
                     rest = source.find("<", rest + 1)
                 # a tag that never ends is no text
-                self._text.append(source[at:] if not 0 <= rest < end - 1 else source[at:rest])
+                self._say(source[at:] if not 0 <= rest < end - 1 else source[at:rest])
                 break
             if found.start() > at:
-                self._text.append(source[at : found.start()])
+                self._say(source[at : found.start()])
             at = found.end()
             closing, tag, attributes = found.group(1), found.group(2), found.group(3)
             if tag is None:
@@ -191,8 +214,8 @@ class Page:
 
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """What is left without dropped markup and the template's subtrees."""
-        has_main = any(inside and not dropped for dropped, inside in self.flags)
-        kept = [not dropped and (inside or not has_main) for dropped, inside in self.flags]
+        level = max((inside for dropped, inside in self.flags if not dropped), default=0)
+        kept = [not dropped and inside == level for dropped, inside in self.flags]
         if template:
             left = list(kept)
             for h, first, after, may in self.subtrees:

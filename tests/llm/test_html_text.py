@@ -22,6 +22,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
         ("<script>x", ""),
         ("<p>x</q></p></p>y", "x\ny"),
         ("<nav>m</nav>z", "z"),
+        ('<div id="header">h</div><div class="post-content"><h1 class="ad">T</h1><p class="ad">buy</p><p>x</p></div><div>rest</div>', "T\nx"),
+        ("<div class=content>side<article>a<div class='reader-comment'>c</div></article></div>", "a"),
+        ("<article><p>a <button>press <b>me</b></button>b</article>", "a b"),
+        ("<div role=main><span class=ads>b</span>w</div>v", "w"),
         ("<p title='>'>q</p>", "q"),
         ("a &lt;b&gt; &#233;&eacute; &unknown; &am", "a <b> éé &unknown; &am"),
     ],
