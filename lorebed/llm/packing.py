@@ -142,7 +142,7 @@ def pack(
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     bound_batches(docs.sparkSession)
-    pieces = docs.select("doc_id", "text").mapInArrow(_local(vocabulary, end_id, capacity, at_once), PIECES)
+    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_local(vocabulary, end_id, capacity, at_once), PIECES)
     pieces = durable(pieces, "pieces")
     full = int(capacity * nearly_full)
     left = pieces.filter(F.col("fill") < full).groupBy("bin").agg(F.max("fill").alias("fill"), F.max("task").alias("grp"))

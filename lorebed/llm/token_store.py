@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, b
         if doc_ids:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
