@@ -167,7 +167,7 @@ def url_categories(url: Column, html: Column) -> Column:
 
     parts = F.filter(path_segments(url), lambda p: ~p.rlike(r"\.html?$"))
     listed = F.regexp_extract(html, r"(?is)<meta[^>]*name=\"(?:keywords|category|categories)\"[^>]*content=\"([^\"]*)\"", 1)
-    return normalise_all(F.concat(parts, F.transform(F.split(listed, ","), F.trim)))
+    return normalise_all(F.concat(parts, F.transform(F.split(listed, ","), lambda c: F.trim(c))))
 
 
 def localise_links(html: Column, source: Column) -> Column:

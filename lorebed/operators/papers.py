@@ -69,7 +69,7 @@ def split_sections(docs: DataFrame, key: str = "doc_id", least: int = 200) -> Da
 
 def parts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Title, abstract and keywords of papers (text): the title is the first line of fair length that is no running head."""
-    lines = F.transform(F.slice(F.split("text", "\n"), 1, 10), F.trim)
+    lines = F.transform(F.slice(F.split("text", "\n"), 1, 10), lambda x: F.trim(x))
     heads = r"(?i)page|vol\.|volume|journal|copyright|doi:"
     title = F.get(F.filter(lines, lambda x: (F.length(x) > 10) & (F.length(x) < 200) & ~x.rlike(heads)), F.lit(0))
     after = r"(?=\n\s*(?:introduction|keywords|1\.|1\s|background))"
@@ -77,5 +77,5 @@ def parts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     clean = [F.trim(F.regexp_replace(f, r"\s+", " ")) for f in found]
     abstract = F.coalesce(*[F.when(F.length(c) > 100, F.left(c, F.lit(2000))) for c in clean], F.lit(""))
     words = F.split(F.regexp_extract("text", r"(?i)keywords?[: \t]*([^\n]+)", 1), "[,;]")
-    keywords = F.slice(F.filter(F.transform(words, F.trim), lambda w: w != ""), 1, 10)
+    keywords = F.slice(F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != ""), 1, 10)
     return docs.select(key, F.coalesce(title, F.lit("")).alias("title"), abstract.alias("abstract"), keywords.alias("keywords"))
