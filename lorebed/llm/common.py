@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Documents that one Arrow batch holds at most, so that a batch of very long texts stays small.
 DOCUMENTS_PER_BATCH = 1024
@@ -58,6 +59,11 @@ def durable(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have at most ``most`` (narrow) rows; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def drop_written() -> None:
     """Remove every intermediate table that this process wrote."""
     while _written:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable
+from .common import bound_batches, durable, small
 from .tokens import slices
 
 _BITS = 64
@@ -90,7 +90,6 @@ def near_links(distinct: DataFrame, distance: int = 4, block: int = 1 << 16) ->
     """Links between the distinct fingerprints ``fp``, enough of them to connect all that lie within ``distance`` bits."""
     if distance > 4:
         raise ValueError("balls of radius 1 on two halves find up to 4 differing bits")
-    spark = distinct.sparkSession
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
     halves = F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32))
     # The key: which half (bit 32) and the 32 bits of a ball's member.
@@ -102,10 +101,8 @@ def near_links(distinct: DataFrame, distance: int = 4, block: int = 1 << 16) ->
     common = filed.groupBy("half").count().filter(F.col("count") > block // 33)
     suspects = common.select(F.explode(F.transform(flips, lambda f: F.col("half").bitwiseXOR(f))).alias("key")).distinct()
     suspects = durable(suspects, "suspects")
-    n_suspects = suspects.count()
-    small = (lambda df: F.broadcast(df)) if n_suspects <= 100_000 else (lambda df: df)
     parts = balls.withColumns({"a": F.lit(0), "b": F.lit(0)})
-    if n_suspects:
+    if not suspects.isEmpty():
         sizes = balls.join(small(suspects), "key", "left_semi").groupBy("key").count().filter(F.col("count") > block)
         sizes = durable(sizes.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
         own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
@@ -196,12 +193,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def members(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int = 1 << 16) -> DataFrame:
     """doc_id, own, fp, root (the component's fingerprint) and component_id of each row of ``docs`` (doc_id, text)."""
     marked = durable(fingerprints(docs, shingle), "fingerprints")
-    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_links(distinct.select("fp"), distance, block))
-    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = durable(known, "rooted")
-    names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(known.join(names, "root").select("fp", "root", "component_id"), "fp")
+    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = components(near_links(distinct.select("fp"), distance, block)).withColumnRenamed("node", "fp")
+    # Most fingerprints are one row's own: only shared and linked ones need names from elsewhere.
+    shared = distinct.join(roots, "fp", "left").filter("n > 1 or root is not null")
+    shared = durable(shared.select("fp", F.coalesce("root", "fp").alias("root"), "least"), "shared")
+    names = durable(shared.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named = durable(shared.join(small(names), "root").select("fp", F.col("root").alias("r"), "component_id"), "named")
+    return marked.join(small(named), "fp", "left").select(
+        "doc_id", "own", "fp", F.coalesce("r", "fp").alias("root"), F.when(F.col("r").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int = 1 << 16) -> DataFrame:
@@ -219,16 +220,19 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int =
 
     Of each component one row stays: that of the smallest doc_id (null last), then of the smallest text hash.
     """
-    key = ["doc_id", "own"]
-    found = members(docs, shingle, distance, block).groupBy(*key, "root").agg(F.count("*").alias("n"))
+    found = members(docs, shingle, distance, block).groupBy("doc_id", "own", "root").agg(F.count("*").alias("n"))
     found = durable(found, "members")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first"))
-    # Rows that go, and rows that stay but are there several times; most rows are neither.
+    # Components of one row need no decision.
+    first = found.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first"), F.sum("n").alias("rows")
+    )
+    first = durable(first.filter("rows > 1").select("root", "first"), "first")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own"))
-    told = found.join(first, "root").select(F.col("doc_id").alias("k"), F.col("own").alias("k_own"), "n", stays.alias("stays"))
+    told = found.join(small(first), "root").select(F.col("doc_id").alias("k"), F.col("own").alias("k_own"), "n", stays.alias("stays"))
+    # Rows that go, and rows that stay but are there several times; most rows are neither.
     told = durable(told.filter("n > 1 or not stays").select("k", "k_own", "stays"), "told")
-    n_told, n_repeated = told.agg(F.count("*"), F.count_if("stays")).first()
-    told = F.broadcast(told) if n_told <= 500_000 else told  # rows of two numbers
+    n_repeated = told.filter("stays").count()
+    told = small(told, 500_000)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
     marked = rows.join(told, F.col("id").eqNullSafe(F.col("k")) & (F.col("own") == F.col("k_own")), "left")
     kept = marked.filter("stays is null").select("row")
