@@ -87,7 +87,8 @@ def keyword_top(docs: DataFrame, query: str, k: int = RESULTS, sources: list[str
     raw = F.lit(0)
     for term in query.lower().split():
         raw = raw + F.contains(title, F.lit(term)).cast("int") * 5 + tx.occurrences(content, term)
-    best = docs.withColumn("raw", raw).filter(F.col("raw") > 0).orderBy(F.desc("raw"), "doc_id").limit(k)
+    # what scores nothing is dropped after the cut: before it, the scores would be computed twice
+    best = docs.withColumn("raw", raw).orderBy(F.desc("raw"), "doc_id").limit(k).filter(F.col("raw") > 0)
     # the best of all is among the best k
     everything, order = Window.partitionBy(), Window.orderBy(F.desc("raw"), "doc_id")
     scored = best.withColumn("score", F.least(F.col("raw") / F.max("raw").over(everything), F.lit(1.0)))
