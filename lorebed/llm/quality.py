@@ -54,7 +54,7 @@ _words: dict[str, tuple[int, int]] = {}
 
 def _known(word: str) -> tuple[int, int]:
     """Slots of a word and of its shape; each worker remembers a bounded number."""
-    if len(_words) > 300_000:
+    if len(_words) > 150_000:
         _words.clear()
     key = word.strip(".,;:!?\"'()*#$%&|").lower()
     found = (zlib.crc32(key.encode("utf-8", "replace")) % WORDS, _slot("shape " + shape(word)))

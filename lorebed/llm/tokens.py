@@ -31,7 +31,7 @@ _RUNS = ("  ", "\n\n", " \n", "\n ")
 class UnitEncoder:
     """Encode texts with a byte-level BPE file; ``memory`` bounds the number of remembered units."""
 
-    def __init__(self, vocabulary: str, memory: int = 1_000_000, longest: int = 48):
+    def __init__(self, vocabulary: str, memory: int = 800_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
