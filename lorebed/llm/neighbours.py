@@ -91,13 +91,17 @@ def fit(sample: np.ndarray, k: int, recall: float, tables: int, projections: int
     d2[np.arange(len(asked)), np.arange(len(asked))] = np.inf
     near = np.argsort(d2, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
     unit = float(np.sqrt(np.maximum(np.median(np.take_along_axis(d2, near, 1)[:, -1]), 1e-12)))
-    for factor in WIDTHS:
-        hashes = Hashes(dims, unit * factor, tables, projections, probes)
+    low, high, best = 0, len(WIDTHS) - 1, None  # wider cells find more
+    while low <= high:
+        middle = (low + high) // 2
+        hashes = Hashes(dims, unit * WIDTHS[middle], tables, projections, probes)
         own, visited = hashes.buckets(sample), hashes.probed(asked)
         hits = [np.any([np.isin(own[near[i], t], visited[i, t]) for t in range(tables)], axis=0).mean() for i in range(len(asked))]
         if np.mean(hits) >= recall:
-            break
-    return hashes
+            best, high = hashes, middle - 1
+        else:
+            low = middle + 1
+    return best or Hashes(dims, unit * WIDTHS[-1], tables, projections, probes)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
