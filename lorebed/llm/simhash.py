@@ -90,6 +90,8 @@ def near_links(distinct: DataFrame, distance: int = 4, block: int = 1 << 16) ->
     """Links between the distinct fingerprints ``fp``, enough of them to connect all that lie within ``distance`` bits."""
     if distance > 4:
         raise ValueError("balls of radius 1 on two halves find up to 4 differing bits")
+    # Each row becomes 66: spread them first, however few files they came in.
+    distinct = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
     halves = F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32))
     # The key: which half (bit 32) and the 32 bits of a ball's member.
