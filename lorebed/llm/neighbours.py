@@ -10,6 +10,9 @@ queries come first in its partition and its candidates stream past them, so no b
 than ``block`` candidates are dealt to several tasks. The width is the smallest that reaches the wanted recall on a
 bounded sample of rows (a sample is sparser than the table, so its neighbours are farther and harder to find).
 
+Queries whose probes reach fewer than ``k`` candidates (outliers, sparse clusters beside dense ones), and all queries where no
+width reaches the wanted recall, are answered exactly: blocks of these queries meet blocks of all candidates.
+
 Nulls and other cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
 part; a null id takes no part; ties go to the smaller id; of rows with one id the ranks are those of all of them; a table with
 fewer candidates than ``k`` gives what it has; an empty one gives no rows; further columns of the input are ignored.
@@ -36,6 +39,7 @@ class Hashes:
     def __init__(self, dims: int, width: float, tables: int, projections: int, probes: int, seed: int = 42):
         rng = np.random.default_rng(seed)
         self.width, self.tables, self.projections, self.probes = width, tables, projections, probes
+        self.reached = True  # the wanted recall, on the sample
         self.directions = rng.normal(size=(dims, tables * projections))
         self.shift = rng.uniform(0, 1, tables * projections)
         self.mix = rng.integers(1, 1 << 62, size=projections, dtype=np.int64) * 2 + 1
@@ -101,7 +105,10 @@ def fit(sample: np.ndarray, k: int, recall: float, tables: int, projections: int
             best, high = hashes, middle - 1
         else:
             low = middle + 1
-    return best or Hashes(dims, unit * WIDTHS[-1], tables, projections, probes)
+    if best is None:
+        best = Hashes(dims, unit * WIDTHS[-1], tables, projections, probes)
+        best.reached = False
+    return best
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -149,6 +156,7 @@ def search(
     recall: float = 0.96,
     sample: int = SAMPLE,
     block: int = 50_000,
+    ask: int = 16_384,
 ) -> DataFrame:
     """The ``k`` nearest found of each row of ``vectors`` (vec_id, embedding) for which the column ``is_query`` holds.
 
@@ -201,7 +209,6 @@ def search(
         index, probing = index.withColumn("part", F.lit(0)), probing.withColumn("part", F.lit(0))
     columns = ["t", "bucket", "part", "kind", "id", "embedding"]
     both = probing.withColumn("kind", F.lit(0)).select(columns).union(index.withColumn("kind", F.lit(1)).select(columns))
-    ordered = both.repartition("t", "bucket", "part").sortWithinPartitions("t", "bucket", "part", "kind", "id")
     keep = k + 1  # distinct vectors; the query's own may be among them
 
     def meet(batches):
@@ -238,12 +245,36 @@ def search(
                 yield out()
         yield out()
 
-    near = ordered.mapInArrow(meet, "q long, rep long, d double").groupBy("q", "rep").agg(F.min("d").alias("d"))
     best = Window.partitionBy("q").orderBy("d", "rep")
-    near = near.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= keep).select("q", "rep", "d")
-    near = near.join(distinct.select("rep", "ids"), "rep").select("q", "d", F.explode("ids").alias("vec_id"))
     again = Window.partitionBy("q").orderBy("d", "vec_id")
-    near = near.withColumn("rn", F.row_number().over(again)).filter(F.col("rn") <= keep).select("q", "d", "vec_id")
+
+    def nearest(both):
+        """q, d and vec_id of what the queries of each bucket find in it."""
+        ordered = both.repartition("t", "bucket", "part").sortWithinPartitions("t", "bucket", "part", "kind", "id")
+        near = ordered.mapInArrow(meet, "q long, rep long, d double").groupBy("q", "rep").agg(F.min("d").alias("d"))
+        near = near.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= keep).select("q", "rep", "d")
+        near = near.join(distinct.select("rep", "ids"), "rep").select("q", "d", F.explode("ids").alias("vec_id"))
+        return near.withColumn("rn", F.row_number().over(again)).filter(F.col("rn") <= keep).select("q", "d", "vec_id")
+
+    # The exact way for queries that the probes leave short.
+    there, n_distinct = distinct.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.count("*")).first()
+    if hashes.reached:
+        near = durable(nearest(both), "near")
+        full = near.groupBy("q").count().filter(F.col("count") >= min(keep, there)).select("q")
+        short = durable(asked_distinct.join(full, "q", "left_anti"), "short")
+    else:
+        near, short = None, asked_distinct
+    n_short = short.count()
+    if n_short or near is None:
+        asks, parts = max(1, -(-n_short // ask)), max(1, -(-n_distinct // block))
+        bucket, part = F.pmod(F.xxhash64("id"), F.lit(asks)), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long")))
+        head = short.select(F.lit(-1).alias("t"), F.col("q").alias("id"), "embedding", F.lit(0).alias("kind"))
+        head = head.withColumn("bucket", bucket).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rest = distinct.select(F.lit(-1).alias("t"), F.col("rep").alias("id"), "embedding", F.lit(1).alias("kind"))
+        rest = rest.withColumn("part", part).withColumn("bucket", blocks)
+        exact = nearest(head.select(columns).union(rest.select(columns)))
+        near = exact if near is None else near.join(short.select("q"), "q", "left_anti").union(exact)
     lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "vec_id"))).alias("near"))
     # Every query of an equal vector takes the same list, without itself.
     named = asked.join(asked_distinct, "embedding").select(F.col("vec_id").alias("query_id"), "q")

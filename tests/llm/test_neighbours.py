@@ -64,3 +64,28 @@ def test_probes_go_from_likely_to_unlikely():
     steps = h._steps(np.array([0.1, 0.5, 0.9, 0.4]))
     assert steps[0] == 0 and steps[1] == -h.mix[0] or steps[1] == h.mix[2]
     assert len(set(steps.tolist())) == 24
+
+
+def test_outliers_and_sparse_clusters_get_whole_results(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 8)) * 0.01
+    x[0], x[100], x[200] = 500.0, -300.0, [900.0, *[-70.0] * 7]  # alone, each far from all
+    x[300:306] = np.arange(1, 9) * 40.0 + rng.normal(size=(6, 8)) * 5  # fewer than k, far from all others
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got, want = search(spark, rows, sample=400, block=300, ask=2), brute(rows)
+    assert set(got) == set(want) and all(len(got[q]) == 10 for q in want)
+    for q in (0, 100, 200, 300):
+        assert [j for _, j in got[q]] == [j for _, j in want[q]]
+        assert np.allclose([d for d, _ in got[q]], [d for d, _ in want[q]], rtol=1e-6, atol=0)
+
+
+def test_tiny_table_gives_all_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1000.0, 0.0]), (2, [0.0, -50_000.0]), (3, [1e6, 1e6])]
+    assert [j for _, j in search(spark, rows)[0]] == [1, 2, 3]
+
+
+def test_exact_where_no_width_reaches_the_recall(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(600, 32)))]
+    got, want = search(spark, rows, sample=300, tables=1, probes=1, recall=1.01), brute(rows)
+    assert {q: [j for _, j in v] for q, v in got.items()} == {q: [j for _, j in v] for q, v in want.items()}
