@@ -1,11 +1,13 @@
 """Main text of web pages by site template removal.
 
 Pages are read into elements; every block element's subtree is hashed from its tag, its class, its text and its children's
-hashes. Spark counts, for each host, on how many of its pages a subtree occurs; those on at least ``share`` of the host's pages
-(and ``least`` pages) are the site's template and are deleted, along with what markup itself names as no article: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Prose inside ``<article>`` or
-``<main>``, or a container named so, stays even if it recurs (articles are copied, and quote each other); where a page marks
-none, all that is left of the body is its text, and a page that would lose everything to its template keeps what the markup rules leave.
+hashes. Spark counts, for each host, on how many of its distinct pages a subtree occurs; those on at least ``share`` of the host's
+pages (and ``least`` pages) are the site's template and are deleted, along with what markup itself names as no article: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Inside ``<article>`` or ``<main>``, or a
+container named so, only pages count whose recurring text is the lesser part of their article: a share bar goes, and the prose of
+copied articles, which is nearly all of theirs, stays. Such a container silences what stands outside it, unless the paragraphs
+outside are more text than it holds (a teaser); where a page marks none, all that is left of the body is its text, and a page that
+would lose everything to its template keeps what the markup rules leave.
 
 A host has at most (mean subtrees a page) / ``share`` template hashes, so a host's list is bounded.
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, durable, small
 from .tokens import slices
 from .urls import LOWER, UPPER
 
@@ -68,6 +70,8 @@ KEPT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 b i em strong a".split())
 CONTAINERS = frozenset("div section td".split())
 #: Names of containers that hold the article where no element says so.
 CONTENT_NAMES = frozenset("article story post entry content main".split())
+#: Characters of a block that is a paragraph of prose, not a label or a line of a menu.
+PARAGRAPH = 80
 #: A start tag of these ends an open paragraph; of the same kind, an open item, row or cell.
 _ENDS_P = BLOCKS - {"caption", "tbody", "tfoot", "thead", "tr", "head", "html", "body", "legend"}
 _ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -80,7 +84,7 @@ class Page:
     def __init__(self, source: str | None, hashed: bool = True):
         self.blocks: list[str] = []
         self.flags: list[tuple[bool, int]] = []  # of each block: in dropped markup; in an article (2: by its element, 1: by name)
-        self.subtrees: list[tuple[int, int, int, bool]] = []  # hash, first block, block after the last, may be deleted
+        self.subtrees: list[tuple[int, int, int, bool, bool]] = []  # hash, first block, block after the last, may be deleted, in an article
         self._hashed = hashed
         self._open: list[list] = []  # [tag, dropped, main, first block, parts, within a dropped part of a line]
         self._text: list[str] = []
@@ -119,8 +123,7 @@ class Page:
             from xxhash import xxh64_intdigest
 
             value = xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
-            # prose of an article stays; what has no paragraph in it may go even there
-            self.subtrees.append((value, first, len(self.blocks), tag not in FRAMES and (not inside or dropped)))
+            self.subtrees.append((value, first, len(self.blocks), tag not in FRAMES, bool(inside) and not dropped))
             if self._open:
                 self._open[-1][4].append(str(value))
 
@@ -208,20 +211,40 @@ class Page:
             self._close()
         self._flush()
 
-    def hashes(self) -> list[int]:
-        """Distinct hashes of block subtrees, as signed longs."""
-        return list({h - (1 << 64) if h >> 63 else h for h, _, _, _ in self.subtrees})
+    def hashes(self) -> dict[int, tuple[int, bool]]:
+        """Of each block subtree's hash, as a signed long: characters of article directly in it; whether it stands in an article."""
+        owned, found = [False] * len(self.blocks), {}
+        for h, first, after, may, inside in self.subtrees:  # inner ones come first
+            own = [k for k in range(first, after) if not owned[k]]
+            for k in own:
+                owned[k] = True
+            if may or inside:
+                key = h - (1 << 64) if h >> 63 else h
+                n, within = found.get(key, (0, False))
+                found[key] = n + (sum(len(self.blocks[k]) for k in own) if inside else 0), within or inside
+        return found
+
+    def _kept(self, gone: list[bool]) -> list[bool]:
+        """The blocks that neither markup nor ``gone`` drops, of the containers that hold most of the prose."""
+        left = [not dropped and not x for (dropped, _), x in zip(self.flags, gone, strict=True)]
+        levels = sorted({inside for (_, inside), x in zip(self.flags, left, strict=True) if x}, reverse=True)
+        for level in levels:
+            within = sum(len(b) for b, (_, i), x in zip(self.blocks, self.flags, left, strict=True) if x and i >= level)
+            outside = sum(len(b) for b, (_, i), x in zip(self.blocks, self.flags, left, strict=True) if x and i < level and len(b) >= PARAGRAPH)
+            if outside <= within:
+                return [x and i >= level for (_, i), x in zip(self.flags, left, strict=True)]
+        return left
 
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """What is left without dropped markup and the template's subtrees."""
-        level = max((inside for dropped, inside in self.flags if not dropped), default=0)
-        kept = [not dropped and inside == level for dropped, inside in self.flags]
+        gone = [False] * len(self.blocks)
         if template:
-            left = list(kept)
-            for h, first, after, may in self.subtrees:
+            for h, first, after, may, _ in self.subtrees:
                 if may and (h - (1 << 64) if h >> 63 else h) in template:
-                    left[first:after] = [False] * (after - first)
-            kept = left if any(left) else kept
+                    gone[first:after] = [True] * (after - first)
+        kept = self._kept(gone)
+        if not any(kept):
+            kept = self._kept([False] * len(self.blocks))
         return "\n".join(b for b, k in zip(self.blocks, kept, strict=True) if k)
 
 
@@ -236,22 +259,35 @@ def templates(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                found = [Page(x).hashes() for x in part.column(1).to_pylist()]
-                hosts = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                flat = pa.array([h for x in found for h in x], type=pa.int64())
-                yield pa.record_batch([part.column(0).take(pa.array(hosts)), flat], names=["host", "hash"])
-
-    named = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host <> ''")
-    counts = named.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sizes = named.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
-    often = counts.filter(F.col("n") >= least).join(sizes, "host").filter(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+                found = [Page(x).hashes() for x in part.column(2).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                flat = [(h, n, inside) for x in found for h, (n, inside) in x.items()]
+                own = [pa.array([x[k] for x in flat], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+                columns = [part.column(0).take(at), part.column(1).take(at), *own]
+                yield pa.record_batch(columns, names=["host", "page", "hash", "chars", "inside"])
+
+    named = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").filter("host <> ''")
+    found = named.mapInArrow(run, "host string, page long, hash long, chars long, inside boolean")
+    found = durable(found.distinct(), "subtrees")  # copies of a page count once
+    sizes = named.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
+    sizes = durable(sizes, "sizes")
+    enough = (F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))
+    often = found.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).filter(F.col("n") >= least)
+    often = durable(often.join(small(sizes), "host").filter(enough).select("host", "hash", "inside", "pages"), "often")
+    # In articles: pages count that are mostly their own.
+    again = small(often.select("host", "hash", F.lit(True).alias("again")))
+    mixed = found.filter("chars > 0").join(again, ["host", "hash"], "left").groupBy("host", "page")
+    mixed = mixed.agg(F.sum("chars").alias("all"), F.coalesce(F.sum(F.when(F.col("again"), F.col("chars"))), F.lit(0)).alias("same"))
+    copied = mixed.filter("2 * same >= all").select("host", "page", F.lit(True).alias("inside"))
+    doubtful = small(often.filter("inside").select("host", "hash", "pages"))
+    held = found.join(doubtful, ["host", "hash"]).join(copied, ["host", "page", "inside"], "left_anti")
+    held = held.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("pages").alias("pages")).filter(enough)
+    told = often.filter("not inside").select("host", "hash").union(held.select("host", "hash"))
+    return told.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
 
 
 def extract(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
-    from .common import durable
-
     bound_batches(pages.sparkSession)
     found = durable(templates(pages, share, least), "templates")
     hosts, hashes = found.agg(F.count("*"), F.coalesce(F.sum(F.size("template")), F.lit(0))).first()

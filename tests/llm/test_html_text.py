@@ -58,3 +58,25 @@ def test_odd_pages(spark):
         [(1, None, 0), (1, None, 0), (None, "x", 1), (2, "https://h/", 0), (3, "https://h/", 9999)], key=repr
     )
     assert html_text.extract(_pages(spark, [])).count() == 0
+
+
+def _prose(k):
+    return " ".join(f"w{k}x{j}" for j in range(40))
+
+
+def test_template_goes_inside_articles_and_copied_prose_stays(spark):
+    bar = "<div class=x1>Tell your friends</div><p>Follow us on the town square</p>"
+    page = "<body><article><h1>Head {0}</h1><p>{1}</p>" + bar + "</article></body>"
+    rows = [(i, f"https://a.example.org/{i}", page.format(i, _prose(i))) for i in range(12)]
+    # near copies of one article, a third of the host, each with a date of its own
+    rows += [(100 + i, f"https://a.example.org/c{i}", page.format("copy", f"{_prose('c')}</p><p>{_prose('d')}</p><p>On day {i}")) for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(_pages(spark, rows)).collect()}
+    assert all(got[i] == f"Head {i}\n{_prose(i)}" for i in range(12))
+    assert all(got[100 + i] == f"Head copy\n{_prose('c')}\n{_prose('d')}\nOn day {i}" for i in range(6))
+
+
+def test_a_teaser_does_not_silence_the_article():
+    source = f"<article>Read also this</article><div><h1>Head</h1><p>{_prose(1)}</p><p>{_prose(2)}</p></div>"
+    assert Page(source).text() == f"Read also this\nHead\n{_prose(1)}\n{_prose(2)}"
+    assert Page(source.replace("<div>", "<div class=story>")).text() == f"Read also this\nHead\n{_prose(1)}\n{_prose(2)}"
+    assert Page(f"<article><p>{_prose(1)}</p></article><div><p>{_prose(2)[:90]}</p></div>").text() == _prose(1)
