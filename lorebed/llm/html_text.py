@@ -2,14 +2,15 @@
 
 Pages are read into elements; every block element's subtree is hashed from its tag, its class, its text and its children's
 hashes. Spark counts, for each host, on how many of its distinct pages a subtree occurs; those on at least ``share`` of the host's
-pages (and ``least`` pages) are the site's template and are deleted, along with what markup itself names as no article: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Inside ``<article>`` or ``<main>``, or a
-container named so, only pages count whose recurring text is the lesser part of their article: a share bar goes, and the prose of
-copied articles, which is nearly all of theirs, stays. Such a container silences what stands outside it, unless the paragraphs
+pages or on ``many`` pages (and on ``least`` pages) are the site's template and are deleted, along with what markup itself names as
+no article: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Of what stands inside
+``<article>`` or ``<main>``, or a container named so, of paragraphs, and of what is on less than ``share`` of the pages, only
+occurrences count on pages whose recurring text is the lesser part of their article (or of the page, if it marks none): a share
+bar or a section's menu goes, and the prose of copied articles, which is nearly all of theirs, stays. Such a container silences what stands outside it, unless the paragraphs
 outside are more text than it holds (a teaser); where a page marks none, all that is left of the body is its text, and a page that
 would lose everything to its template keeps what the markup rules leave.
 
-A host has at most (mean subtrees a page) / ``share`` template hashes, so a host's list is bounded.
+A page is joined with those of its own subtrees that are template, so its list is no longer than the page.
 
 Nulls and other cases: a null html is empty (text empty, 0 characters); a null url has an empty host, whose pages share no
 template; null page_ids and repeated rows are kept; an empty table gives no rows; further columns of the input are ignored.
@@ -212,16 +213,23 @@ class Page:
         self._flush()
 
     def hashes(self) -> dict[int, tuple[int, bool]]:
-        """Of each block subtree's hash, as a signed long: characters of article directly in it; whether it stands in an article."""
+        """Of each block subtree that markup doesn't drop, by its hash as a signed long: characters of prose directly in it; in an article or not.
+
+        Where a page has an article, only that is prose.
+        """
+        marked = any(inside and not dropped for dropped, inside in self.flags)
+        prose = [0 if dropped or (marked and not inside) else len(b) for b, (dropped, inside) in zip(self.blocks, self.flags, strict=True)]
+        left = np.concatenate(([0], np.cumsum([not dropped for dropped, _ in self.flags])))
         owned, found = [False] * len(self.blocks), {}
         for h, first, after, may, inside in self.subtrees:  # inner ones come first
-            own = [k for k in range(first, after) if not owned[k]]
-            for k in own:
-                owned[k] = True
-            if may or inside:
+            own = 0
+            for k in range(first, after):
+                if not owned[k]:
+                    owned[k], own = True, own + prose[k]
+            if (may or own) and left[after] > left[first]:
                 key = h - (1 << 64) if h >> 63 else h
                 n, within = found.get(key, (0, False))
-                found[key] = n + (sum(len(self.blocks[k]) for k in own) if inside else 0), within or inside
+                found[key] = n + own, within or inside
         return found
 
     def _kept(self, gone: list[bool]) -> list[bool]:
@@ -252,8 +260,8 @@ def host_of(url):
     return F.translate(F.coalesce(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
 
 
-def templates(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
-    """host and the hashes of its template (bounded by the mean number of subtrees of its pages / ``share``)."""
+def templates(pages: DataFrame, share: float = 0.2, least: int = 5, many: int = 50) -> DataFrame:
+    """host, page (a hash of the html) and the hashes of its subtrees that are the host's template, of pages that have any."""
     bound_batches(pages.sparkSession)
 
     def run(batches):
@@ -271,27 +279,33 @@ def templates(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame
     found = durable(found.distinct(), "subtrees")  # copies of a page count once
     sizes = named.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
     sizes = durable(sizes, "sizes")
-    enough = (F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))
-    often = found.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).filter(F.col("n") >= least)
-    often = durable(often.join(small(sizes), "host").filter(enough).select("host", "hash", "inside", "pages"), "often")
-    # In articles: pages count that are mostly their own.
+    enough = (F.col("n") >= least) & ((F.col("n") >= share * F.col("pages")) | (F.col("n") >= many))
+    often = found.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside"), F.max("chars").alias("chars"))
+    often = often.filter(F.col("n") >= least).join(small(sizes), "host").filter(enough)
+    rare = F.col("n") < share * F.col("pages")
+    often = often.select("host", "hash", "pages", (F.col("inside") | rare | (F.col("chars") >= PARAGRAPH)).alias("doubtful"), rare.alias("rare"))
+    often = durable(often, "often")
+    # Pages that are mostly their own tell template from copied prose.
     again = small(often.select("host", "hash", F.lit(True).alias("again")))
     mixed = found.filter("chars > 0").join(again, ["host", "hash"], "left").groupBy("host", "page")
     mixed = mixed.agg(F.sum("chars").alias("all"), F.coalesce(F.sum(F.when(F.col("again"), F.col("chars"))), F.lit(0)).alias("same"))
-    copied = mixed.filter("2 * same >= all").select("host", "page", F.lit(True).alias("inside"))
-    doubtful = small(often.filter("inside").select("host", "hash", "pages"))
-    held = found.join(doubtful, ["host", "hash"]).join(copied, ["host", "page", "inside"], "left_anti")
-    held = held.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("pages").alias("pages")).filter(enough)
-    told = often.filter("not inside").select("host", "hash").union(held.select("host", "hash"))
-    return told.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
-
-
-def extract(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
+    copied = mixed.filter("2 * same >= all").select("host", "page")
+    doubtful = small(often.filter("doubtful").select("host", "hash", "pages", "rare"))
+    held = found.join(doubtful, ["host", "hash"])
+    sure = held.filter(f"not (inside or rare or chars >= {PARAGRAPH})")
+    held = held.filter(f"inside or rare or chars >= {PARAGRAPH}").join(copied, ["host", "page"], "left_anti").select("host", "hash", "pages")
+    held = held.union(sure.select("host", "hash", "pages")).groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("pages").alias("pages"))
+    told = often.filter("not doubtful").select("host", "hash").union(held.filter(enough).select("host", "hash"))
+    told = small(durable(told, "told"))
+    return found.join(told, ["host", "hash"]).groupBy("host", "page").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+
+
+def extract(pages: DataFrame, share: float = 0.2, least: int = 5, many: int = 50) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
     bound_batches(pages.sparkSession)
-    found = durable(templates(pages, share, least), "templates")
-    hosts, hashes = found.agg(F.count("*"), F.coalesce(F.sum(F.size("template")), F.lit(0))).first()
-    if hosts <= 20_000 and hashes <= 200_000:  # else Spark joins by shuffle and splits hot hosts
+    found = durable(templates(pages, share, least, many), "templates")
+    told, hashes = found.agg(F.count("*"), F.coalesce(F.sum(F.size("template")), F.lit(0))).first()
+    if told <= 20_000 and hashes <= 200_000:  # else Spark joins by shuffle and splits hot pages
         found = F.broadcast(found)
 
     def run(batches):
@@ -307,6 +321,6 @@ def extract(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
                 texts = pa.array([x.encode("utf-8", "replace").decode() for x in texts], type=pa.string())
                 yield pa.record_batch([part.column(0), part.column(1), texts, sizes], names=["page_id", "url", "text", "n_chars"])
 
-    own = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = own.join(found, "host", "left").select("page_id", "url", "html", "template")
+    own = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
+    joined = own.join(found, ["host", "page"], "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

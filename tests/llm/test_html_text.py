@@ -80,3 +80,16 @@ def test_a_teaser_does_not_silence_the_article():
     assert Page(source).text() == f"Read also this\nHead\n{_prose(1)}\n{_prose(2)}"
     assert Page(source.replace("<div>", "<div class=story>")).text() == f"Read also this\nHead\n{_prose(1)}\n{_prose(2)}"
     assert Page(f"<article><p>{_prose(1)}</p></article><div><p>{_prose(2)[:90]}</p></div>").text() == _prose(1)
+
+
+def test_menus_on_many_pages_of_a_large_host_go_and_near_copies_stay(spark):
+    menu = "<div class=s>In this part: fields and woods</div>"
+    rows = [(i, f"https://a.example.org/{i}", f"<body>{menu if i < 60 else ''}<h1>Head {i}</h1><p>{_prose(i)}</p></body>") for i in range(400)]
+    rows += [(1000 + i, f"https://b.example.org/{i}", f"<body><p>{_prose(i)}</p></body>") for i in range(12)]
+    # near copies without an article element, and exact copies, which count as one page
+    rows += [(2000 + i, f"https://b.example.org/c{i}", f"<body><p>{_prose('c')}</p><p>{_prose('d')}</p><p>On day {i}</p></body>") for i in range(6)]
+    rows += [(3000 + i, "https://b.example.org/e", "<body><h1>Same head</h1><p>Short prose</p></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_text.extract(_pages(spark, rows)).collect()}
+    assert all(got[i] == f"Head {i}\n{_prose(i)}" for i in range(400))
+    assert all(got[2000 + i] == f"{_prose('c')}\n{_prose('d')}\nOn day {i}" for i in range(6))
+    assert all(got[3000 + i] == "Same head\nShort prose" for i in range(9))
