@@ -757,7 +757,7 @@ def youtube_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, '10.1234/ab.' || doc_id AS doi FROM documents")
 def dois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.left("text", F.lit(20)), F.lit(" doi:10.1234/ab."), F.col("doc_id").cast("string"), F.lit("., and more"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" doi:10.1234/ab."), F.col("doc_id").cast("string"), F.lit("., and more"))
     return table(spark, sf_dir, "documents").select("doc_id", web.doi(text).alias("doi"))
 
 

@@ -104,3 +104,12 @@ def test_wiki_assets(spark):
     got = spark.createDataFrame([("_mw_/a.css",), ("plain.css",), ("_assets_/h/i.png",)], "u string").select(web.wiki_asset_candidates(F.col("u")).alias("c")).collect()
     assert got[0].c[:3] == ["_mw_/a.css", "-/mw/a.css", "-/a.css"] and got[1].c == ["plain.css"]
     assert {"I/h/i.png", "I/m/h/i.png", "I/i.png", "i.png"} <= set(got[2].c)
+
+
+def test_dois_reads_whole_texts(spark, tmp_path):
+    from lorebed import queries
+
+    rows = [(1, "words " * 50 + "see 10.5555/far.away, and so on"), (2, "no such thing"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.doi for r in queries.dois(spark, str(tmp_path)).collect()}
+    assert got == {1: "10.5555/far.away", 2: "10.1234/ab.2", 3: "10.1234/ab.3"}
