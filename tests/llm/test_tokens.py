@@ -85,11 +85,36 @@ def test_cut():
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
 
 
-@pytest.mark.parametrize("tasks,fan_in,carry", [(1, 16, 20_000), (9, 2, 20_000), (9, 3, 2)])
-def test_packing_is_whole_and_tight(spark, make, odd_rows, coder, tasks, fan_in, carry):
-    rows = odd_rows + [(100 + i, "several words " * (i % 90), "z") for i in range(300)]
-    got = packing.pack(make(rows).repartition(tasks), default_vocabulary(), fan_in=fan_in, carry=carry).collect()
-    # every piece, with its ids
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=150))
+def test_best_fit_of_counts_is_best_fit_of_the_items(sizes):
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    runs = packing.best_fit_counts(counts, 64)
+    assert sorted(f for run, f in runs for _ in range(run.n)) == sorted(packing.best_fit(np.array(sizes, dtype=np.int64), 64)[2].tolist())
+    items = [(s, first + i) for run, _ in runs for s, first, _ in run.slots for i in range(run.n)]
+    assert sorted(items) == sorted((s, i) for s, n in counts.items() for i in range(n))  # each item once
+    for run, fill in runs:
+        at = 0
+        for size, _, offset in run.slots:
+            assert offset == at
+            at += size
+        assert at == fill <= 64
+
+
+def plain_best_fit(lengths, capacity=1024):
+    """Number of sequences of best fit, largest first, over all pieces at once."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, x in enumerate(room) if x >= n]
+        if fits:
+            room[min(fits, key=room.__getitem__)] -= n
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+def check_packed(got, rows, coder):
+    """Every piece with its ids, gapless, none too long; returns the number of sequences and the lengths."""
     want = []
     for doc_id, text, _ in rows:
         ids = np.array(ids_of(coder, text), "<u4")
@@ -100,5 +125,22 @@ def test_packing_is_whole_and_tight(spark, make, odd_rows, coder, tasks, fan_in,
         assert g.offset == fill.get(g.sequence_id, 0)
         fill[g.sequence_id] = g.offset + g.length
     assert max(fill.values()) <= 1024
-    total = sum(fill.values())
-    assert len(fill) <= 1.25 * -(-total // 1024) + tasks
+    return len(fill), [g.length for g in got]
+
+
+@pytest.mark.parametrize("tasks,fan_in,at_once", [(1, 16, 200_000), (1, 16, 40), (9, 2, 200_000), (9, 3, 25), (40, 3, 200_000)])
+def test_packing_is_whole_and_as_tight_as_plain_best_fit(spark, make, odd_rows, coder, tasks, fan_in, at_once):
+    rnd = random.Random(tasks)
+    rows = odd_rows + [(100 + i, "several words " * rnd.randint(0, 400), "z") for i in range(400)]
+    got = packing.pack(make(rows).repartition(tasks), default_vocabulary(), fan_in=fan_in, at_once=at_once).collect()
+    sequences, lengths = check_packed(got, rows, coder)
+    assert sequences <= 1.01 * plain_best_fit(lengths) + 1
+
+
+def test_many_underfull_sequences_meet_their_fillers(spark, make, coder):
+    """Tasks full of pieces that fit with nothing of their own task, and their fillers elsewhere."""
+    rows = [(i, "a " * 650, "hot") for i in range(240)] + [(1000 + i, "a " * 340, "other") for i in range(240)]
+    got = packing.pack(make(rows).repartitionByRange(12, "doc_id"), default_vocabulary(), fan_in=2).collect()
+    sequences, lengths = check_packed(got, rows, coder)
+    mixed = spark.createDataFrame([(g.sequence_id, g.doc_id < 1000) for g in got], "s long, big boolean").groupBy("s").agg({"big": "max"}).count()
+    assert mixed == sequences and sequences < 480
