@@ -5,15 +5,15 @@ DataFrame functions only. A document's size is its number of words. Sources in c
 take goes to the others by weight, until none is above. The level at which that ends is found at once: sources are put in
 the order in which they clamp, and running sums tell from where on nobody does.
 
-A source repeats each document floor(target / size) times, and some once more: documents stand in a seeded order, and those
-go in whose words, added up, end at or before the fraction that is missing; then one more goes in, of those left the one
-whose size is nearest to what is still missing, if that comes nearer. Rows of one doc_id and size go in together. The order
-is never made in one task: sums by source and the order's first digits tell where it is cut, and a row's own place
-in the order then tells whether it goes in.
+A source repeats each document floor(target / size) times, and some once more: documents stand in a seeded order (the MD5 of
+seed, id and text; rows that agree in these stand by their place in the stored table), and those go in whose words, added up,
+end at or before the words that are missing; then one more goes in, of those left the one whose size is nearest to what
+is still missing, if that comes nearer. The order is never made in one task: sums by source and the order's first digits
+tell where it is cut, sums by stored file where equal rows are, and a row's own place then tells whether it goes in.
 
 Nulls and other cases: a null or wordless text has size 0 and is taken 0 words; a null source is a source, the last; null
-doc_ids, repeated doc_ids and repeated rows are mixed like others (rows that agree in everything are interchangeable); an
-empty table gives no rows; further columns are ignored by ``mix`` and kept by ``repeat_rows``.
+doc_ids, repeated doc_ids and repeated rows are mixed like others, each row for itself (of rows that agree in id and text as many
+go in as fit); an empty table gives no rows; further columns are ignored by ``mix`` and kept by ``repeat_rows``.
 """
 
 from __future__ import annotations
@@ -53,71 +53,96 @@ def targets(sources: DataFrame, weights: tuple[float, ...], epochs: float) -> Da
     return staged.withColumn("target", target).select("source", "source_size", "rank", "weight", "total", "target")
 
 
-def _measured(docs: DataFrame, seed: int) -> DataFrame:
-    """source, size and order of each row, with the row's id."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    return docs.select("doc_id", "source", size.alias("size"), order.alias("order"))
+def _order(seed: int):
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text")))
+
+
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _placed(stored: DataFrame, *columns) -> DataFrame:
+    """``columns`` of a stored table, and where each row is stored: file and line."""
+    at = stored.metadataColumn("_metadata")
+    return stored.select(*columns, at["file_path"].alias("file"), at["row_index"].alias("line"))
+
+
+def _first(rows: DataFrame, by: str, words, need: DataFrame, few) -> DataFrame:
+    """Of each source ``s`` in ``need`` (s, missing), the part by column ``by`` in which the missing ``words`` end: s, edge, before."""
+    sums = durable(rows.groupBy("s", by).agg(words.alias("words")), "sums")
+    running = Window.partitionBy("s").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
+    last = sums.join(few(need.withColumnRenamed("s", "n")), F.col("s").eqNullSafe(F.col("n")))
+    return durable(last.filter("before <= missing and missing < before + words").select("s", F.col(by).alias("edge"), "before"), "edges")
 
 
 def goals(rows: DataFrame, weights: tuple[float, ...], epochs: float) -> DataFrame:
-    """One row a source: s, source_size, target, whole repeats, and which rows (source, size, order) go in once more.
+    """One row a source: s, source_size, target, whole repeats, and which rows (source, order, file, line) go in once more.
 
-    Those are the rows up to (cut_order, cut_size), and those at (pick_order, pick_size).
+    Those are the rows before cut_order, those at it that are stored before (cut_file, cut_line), and the one at (pick_file, pick_line).
     """
-    part = F.substring("order", 1, PARTS)
-    sums = durable(rows.groupBy("source", part.alias("part")).agg(F.sum("size").alias("words")), "words")
-    sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goal = targets(sources, weights, epochs)
+    own = rows.select(F.col("source").alias("s"), "size", "order", "file", "line", F.substring("order", 1, PARTS).alias("part"))
+    sums = durable(own.groupBy("s", "part").agg(F.sum("size").alias("words")), "words")
+    goal = targets(sums.groupBy(F.col("s").alias("source")).agg(F.sum("words").alias("source_size")), weights, epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("whole", F.floor(rate).cast("long"))
     goal = goal.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     goal = durable(goal.withColumnRenamed("source", "s").select("s", "source_size", "target", "whole", "missing"), "goals")
-    # Of each source, one part holds the place where the missing words end: all before it go in, none after it.
-    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    last = sums.join(goal, F.col("source").eqNullSafe(F.col("s"))).filter("before <= missing and missing < before + words")
-    edges = durable(last.select("s", "missing", F.col("part").alias("edge"), "before"), "edges")
     # One row a source, so small unless sources are many; Spark then joins by shuffle and splits hot ones.
     few = (lambda df: F.broadcast(df)) if goal.count() <= 100_000 else (lambda df: df)
-    # Only the edge's own part is put in order: a 4,096th of a source.
-    inside = rows.join(few(edges), F.col("source").eqNullSafe(F.col("s")) & (part == F.col("edge")))
-    line = Window.partitionBy("s").orderBy("order", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = inside.withColumn("through", F.col("before") + F.sum("size").over(line)).filter("through <= missing")
-    cut = fits.groupBy("s").agg(F.max("through").alias("got"), F.max(F.struct("order", "size")).alias("cut"))
-    cut = cut.select(F.col("s").alias("cs"), "got", "cut")
-    own = edges.join(cut, F.col("s").eqNullSafe(F.col("cs")), "left").select(
-        F.col("s").alias("es"),
-        F.coalesce("cut.order", "edge").alias("cut_order"),  # the edge itself comes before every order in it
-        F.coalesce("cut.size", F.lit(-1)).alias("cut_size"),
-        (F.col("missing") - F.coalesce("got", "before")).alias("rest"),
-    )
-    goal = goal.join(own, F.col("s").eqNullSafe(F.col("es")), "left").drop("es")
-    goal = goal.withColumns({"cut_order": F.coalesce("cut_order", F.lit("")), "cut_size": F.coalesce("cut_size", F.lit(-1))})
-    goal = durable(goal.withColumn("rest", F.coalesce("rest", F.lit(0.0))), "cuts")
+
+    def edge_of(frame, by, words, need):
+        """The edge's own rows, with what is still missing there."""
+        edges = _first(frame, by, words, need, few).join(few(need.withColumnRenamed("s", "n")), F.col("s").eqNullSafe(F.col("n")))
+        edges = edges.select(F.col("s").alias("e"), "edge", (F.col("missing") - F.col("before")).alias("missing"))
+        return edges
+
+    # The part, then the order, then (of rows equal in order) the file and the line where the missing words end.
+    parts = edge_of(own, "part", F.sum("size"), goal.select("s", "missing"))
+    inside = own.join(few(parts), F.col("s").eqNullSafe(F.col("e")) & (F.col("part") == F.col("edge"))).drop("e", "edge", "missing")
+    orders = edge_of(inside, "order", F.sum("size"), parts.select(F.col("e").alias("s"), "missing"))
+    equal = own.join(few(orders), F.col("s").eqNullSafe(F.col("e")) & (F.col("order") == F.col("edge"))).drop("e", "edge", "missing")
+    files = edge_of(equal, "file", F.sum("size"), orders.select(F.col("e").alias("s"), "missing"))
+    stored = equal.join(few(files), F.col("s").eqNullSafe(F.col("e")) & (F.col("file") == F.col("edge")))
+    # Rows equal in order are equal in size.
+    line = F.row_number().over(Window.partitionBy("s").orderBy("line"))
+    lines = stored.withColumn("k", line).filter(F.col("k") == F.floor(F.col("missing") / F.col("size")) + 1)
+    lines = durable(lines.select(F.col("s").alias("ls"), "line", (F.col("missing") % F.col("size")).alias("rest")), "lines")
+    cuts = orders.select(F.col("e").alias("os"), F.col("edge").alias("cut_order"))
+    cuts = cuts.join(files.select(F.col("e").alias("fs"), F.col("edge").alias("cut_file")), F.col("os").eqNullSafe(F.col("fs")), "left")
+    cuts = cuts.join(lines, F.col("os").eqNullSafe(F.col("ls")), "left")
+    goal = goal.join(cuts, F.col("s").eqNullSafe(F.col("os")), "left")
+    # A source without an edge misses nothing, or as much as it has (then all its rows fit).
+    goal = goal.select(
+        "s", "source_size", "target", "whole",
+        F.coalesce("cut_order", F.when(F.col("missing") > 0, F.lit("g")).otherwise(F.lit(""))).alias("cut_order"),
+        F.coalesce("cut_file", F.lit("")).alias("cut_file"), F.coalesce(F.col("line"), F.lit(0)).alias("cut_line"),
+        F.coalesce("rest", F.lit(0.0)).alias("rest"),
+    )
+    goal = durable(goal, "cuts")
     # Of the rows left, the one nearest in size to the rest.
-    left = rows.join(few(goal), F.col("source").eqNullSafe(F.col("s"))).filter(~_up_to_cut() & (F.col("size") > 0) & (F.col("rest") > 0))
-    nearest = left.groupBy("s").agg(F.min(F.struct(F.abs(F.col("rest") - F.col("size")).alias("gap"), "order", "size")).alias("n"), F.first("rest").alias("rest"))
-    nearest = durable(nearest.filter("n.gap < rest").select(F.col("s").alias("ns"), "rest", F.col("n.order").alias("po"), F.col("n.size").alias("ps")), "picks")
-    at = F.col("source").eqNullSafe(F.col("ns")) & (F.col("order") == F.col("po")) & (F.col("size") == F.col("ps"))
-    alike = rows.join(few(nearest), at).groupBy("ns", "rest", "po", "ps").agg(F.count(F.lit(1)).alias("m"))
-    alike = alike.filter(F.abs(F.col("rest") - F.col("m") * F.col("ps")) < F.col("rest"))
-    goal = goal.join(alike.select("ns", "po", "ps"), F.col("s").eqNullSafe(F.col("ns")), "left")
-    return durable(goal.select("s", "source_size", "target", "whole", "cut_order", "cut_size", F.col("po").alias("pick_order"), F.col("ps").alias("pick_size")), "mix")
+    named = goal.withColumnRenamed("s", "g")
+    left = own.join(few(named.filter("rest > 0")), F.col("s").eqNullSafe(F.col("g"))).filter(~_before_cut() & (F.col("size") > 0))
+    gap = F.abs(F.col("rest") - F.col("size"))
+    nearest = left.groupBy("s").agg(F.min(F.struct(gap.alias("gap"), "order", "file", "line")).alias("n"), F.first("rest").alias("rest"))
+    nearest = nearest.filter("n.gap < rest").select(F.col("s").alias("ns"), F.col("n.file").alias("pick_file"), F.col("n.line").alias("pick_line"))
+    return durable(goal.join(nearest, F.col("s").eqNullSafe(F.col("ns")), "left").drop("ns", "rest"), "mix")
 
 
-def _up_to_cut():
-    return (F.col("order") < F.col("cut_order")) | ((F.col("order") == F.col("cut_order")) & (F.col("size") <= F.col("cut_size")))
+def _before_cut():
+    same = F.col("order") == F.col("cut_order")
+    earlier = (F.col("file") < F.col("cut_file")) | ((F.col("file") == F.col("cut_file")) & (F.col("line") < F.col("cut_line")))
+    return (F.col("order") < F.col("cut_order")) | (same & earlier)
 
 
-def assign(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """Add source_size, target, repeats and taken to rows of (source, size, order, ...)."""
+def assign(rows: DataFrame, goal: DataFrame, worded) -> DataFrame:
+    """Add source_size, target and repeats to rows of (source, order, file, line, ...); only ``worded`` ones repeat."""
     goal = F.broadcast(goal) if goal.count() <= 100_000 else goal
     placed = rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
-    picked = (F.col("order") == F.col("pick_order")) & (F.col("size") == F.col("pick_size"))
-    more = _up_to_cut() | F.coalesce(picked, F.lit(False))
-    repeats = F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0)
-    return placed.withColumn("repeats", repeats.cast("int")).withColumn("taken", F.col("size") * F.col("repeats"))
+    picked = (F.col("file") == F.col("pick_file")) & (F.col("line") == F.col("pick_line"))
+    more = _before_cut() | F.coalesce(picked, F.lit(False))
+    repeats = F.when(worded, F.col("whole") + more.cast("long")).otherwise(0)
+    return placed.withColumn("repeats", repeats.cast("int"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, seed: int = 42) -> DataFrame:
@@ -125,17 +150,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: f
 
     Returns per row: doc_id, size, source, source_size, target (its source's), repeats, taken.
     """
-    rows = durable(_measured(docs, seed), "sizes")
-    taken = assign(rows, goals(rows, weights, epochs))
+    stored = durable(docs.select("doc_id", "source", _size().alias("size"), _order(seed).alias("order")), "sizes")
+    rows = _placed(stored, "doc_id", "source", "size", "order")
+    taken = assign(rows, goals(rows, weights, epochs), F.col("size") > 0)
+    taken = taken.withColumn("taken", F.col("size") * F.col("repeats"))
     return taken.select("doc_id", "size", "source", "source_size", "target", "repeats", "taken")
 
 
+def _stored(docs: DataFrame) -> DataFrame:
+    """``docs`` if it reads files and nothing else, so that each row has a lasting place; else a stored copy."""
+    scan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return docs if scan and "_metadata" not in [c.lower() for c in docs.columns] else durable(docs, "documents")
+
+
 def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns kept."""
-    goal = goals(durable(_measured(docs, seed), "sizes"), weights, epochs)
-    nested = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    rows = nested.select("row", "source", size.alias("size"), order.alias("order"))
-    taken = assign(rows, goal).filter("repeats > 0")
-    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select("row.*")
+    names = docs.columns
+    # Positions for names, so that no column clashes.
+    docs = _stored(docs.toDF(*[f"c{i}" for i in range(len(names))]) if "_metadata" in [c.lower() for c in names] else docs)
+    by_name = dict(zip([c.lower() for c in names], docs.columns, strict=True))
+    doc_id, text, source = (F.col(by_name[c]).alias(c) for c in ("doc_id", "text", "source"))
+    texts = _placed(docs, F.struct("*").alias("row"), doc_id, text, source)
+    order = _order(seed).alias("order")
+    sizes = durable(texts.select("source", _size().alias("size"), order, "file", "line"), "sizes")
+    rows = texts.select("row", "source", order, F.regexp_like("text", F.lit(WORD)).alias("worded"), "file", "line")
+    taken = assign(rows, goals(sizes, weights, epochs), F.coalesce("worded", F.lit(False))).filter("repeats > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select("row.*").toDF(*names)

@@ -59,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR))) AS ord
+         md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), text)) AS ord, row_number() OVER () AS line
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) * 3.0 AS cap,
@@ -78,15 +78,14 @@ g AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 r AS (
   SELECT d.*, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS missing,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.size) AS through,
-         count(*) OVER (PARTITION BY d.source, d.ord, d.size) AS alike
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.line) AS through
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 e AS (SELECT *, missing - coalesce(max(CASE WHEN through <= missing THEN through END) OVER (PARTITION BY source), 0) AS rest FROM r),
 n AS (
-  SELECT source, arg_min(struct_pack(o := ord, s := size), (abs(rest - size), ord, size)) AS pick
+  SELECT source, arg_min(line, (abs(rest - size), ord, line)) AS pick
   FROM e WHERE through > missing AND size > 0 AND abs(rest - size) < rest GROUP BY source)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN missing > 0 AND (through <= missing
-       OR (ord = pick.o AND size = pick.s AND abs(rest - alike * size) < rest)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN missing > 0 AND (through <= missing OR line = pick)
+       THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM e LEFT JOIN n ON e.source IS NOT DISTINCT FROM n.source
 """
 

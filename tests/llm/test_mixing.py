@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import pytest
 
@@ -53,6 +55,63 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark, make):
     assert repeated.count() == sum(r.repeats for r in got)
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(None, f"w{i} " * 100, "a") for i in range(50)],  # null ids
+        [(7, "w " * 100, "a")] * 50,  # one row, many times
+        [(7, f"w{i % 3} " * (100 + i % 3), "a") for i in range(50)],
+        [(i, "w " * 100, "a") for i in range(50)],
+    ],
+)
+def test_targets_are_met_whatever_the_ids(spark, make, rows):
+    rows = rows + [(1000 + i, "v " * 100, "b") for i in range(50)] + [(2000, "x", "c")]
+    docs = make(rows).repartition(5)
+    got = mixing.mix(docs).collect()
+    taken, target, most = {}, {}, {}
+    for r in got:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        most[r.source] = max(most.get(r.source, 0), r.size)
+    assert all(abs(taken[s] - target[s]) <= most[s] / 2 for s in taken)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=repr)
+    repeated = mixing.repeat_rows(docs)
+    assert repeated.columns == docs.columns
+    words = {}
+    for r in repeated.collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert words == {s: n for s, n in taken.items() if n}
+
+
+def test_rows_repeat_as_a_plain_version_says(spark, make, odd_rows, tmp_path):
+    """Rows in order of MD5 until the target is met, then the one that comes nearest."""
+    rows = [*odd_rows, *odd_rows[:3], *[(20 + i, "w " * (i % 13), "abc"[i % 3]) for i in range(90)]]
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    key = lambda r: hashlib.md5(":".join(["42", *[str(x) for x in r[:2] if x is not None]]).encode()).hexdigest()
+    sums = {}
+    for r in rows:
+        sums[r[2]] = sums.get(r[2], 0) + size(r)
+    want = []
+    for s, goal in plain_targets(sums).items():
+        own = sorted((r for r in rows if r[2] == s), key=key)
+        whole = int(goal // sums[s]) if sums[s] else 0
+        missing, more, k = goal - whole * sums[s], [], 0
+        while k < len(own) and missing > 0 and size(own[k]) <= missing:
+            more.append(own[k])
+            missing -= size(own[k])
+            k += 1
+        left = [r for r in own[k:] if size(r)]
+        if missing > 0 and left:
+            best = min(left, key=lambda r: (abs(missing - size(r)), key(r)))
+            if abs(missing - size(best)) < missing:
+                more.append(best)
+        want += [r for r in own if size(r) for _ in range(whole)] + [r for r in more if size(r)]
+    docs = make(rows)
+    docs.write.parquet(f"{tmp_path}/docs")
+    for given in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        got = [(r.doc_id, r.text, r.source) for r in mixing.repeat_rows(given).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_odd_documents(spark, make, odd_rows):
     got = mixing.mix(make(odd_rows)).collect()
     assert len(got) == len(odd_rows)
