@@ -67,13 +67,12 @@ def _placed(stored: DataFrame, *columns) -> DataFrame:
     return stored.select(*columns, at["file_path"].alias("file"), at["row_index"].alias("line"))
 
 
-def _first(rows: DataFrame, by: str, words, need: DataFrame, few) -> DataFrame:
-    """Of each source ``s`` in ``need`` (s, missing), the part by column ``by`` in which the missing ``words`` end: s, edge, before."""
-    sums = durable(rows.groupBy("s", by).agg(words.alias("words")), "sums")
-    running = Window.partitionBy("s").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+def _edges(sums: DataFrame, *order: str) -> DataFrame:
+    """The row of each source's ``sums`` (s, *order, words, missing) in which its missing words end; ``missing`` is then what is missing there."""
+    running = Window.partitionBy("s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    last = sums.join(few(need.withColumnRenamed("s", "n")), F.col("s").eqNullSafe(F.col("n")))
-    return durable(last.filter("before <= missing and missing < before + words").select("s", F.col(by).alias("edge"), "before"), "edges")
+    last = sums.filter("before <= missing and missing < before + words")
+    return last.select("s", *order, (F.col("missing") - F.col("before")).alias("missing"))
 
 
 def goals(rows: DataFrame, weights: tuple[float, ...], epochs: float) -> DataFrame:
@@ -90,27 +89,18 @@ def goals(rows: DataFrame, weights: tuple[float, ...], epochs: float) -> DataFra
     goal = durable(goal.withColumnRenamed("source", "s").select("s", "source_size", "target", "whole", "missing"), "goals")
     # One row a source, so small unless sources are many; Spark then joins by shuffle and splits hot ones.
     few = (lambda df: F.broadcast(df)) if goal.count() <= 100_000 else (lambda df: df)
-
-    def edge_of(frame, by, words, need):
-        """The edge's own rows, with what is still missing there."""
-        edges = _first(frame, by, words, need, few).join(few(need.withColumnRenamed("s", "n")), F.col("s").eqNullSafe(F.col("n")))
-        edges = edges.select(F.col("s").alias("e"), "edge", (F.col("missing") - F.col("before")).alias("missing"))
-        return edges
-
-    # The part, then the order, then (of rows equal in order) the file and the line where the missing words end.
-    parts = edge_of(own, "part", F.sum("size"), goal.select("s", "missing"))
-    inside = own.join(few(parts), F.col("s").eqNullSafe(F.col("e")) & (F.col("part") == F.col("edge"))).drop("e", "edge", "missing")
-    orders = edge_of(inside, "order", F.sum("size"), parts.select(F.col("e").alias("s"), "missing"))
-    equal = own.join(few(orders), F.col("s").eqNullSafe(F.col("e")) & (F.col("order") == F.col("edge"))).drop("e", "edge", "missing")
-    files = edge_of(equal, "file", F.sum("size"), orders.select(F.col("e").alias("s"), "missing"))
-    stored = equal.join(few(files), F.col("s").eqNullSafe(F.col("e")) & (F.col("file") == F.col("edge")))
+    # The part where the missing words end, in it the order and (of rows equal in order) the file, and in that the line.
+    need = few(goal.select(F.col("s").alias("n"), "missing"))
+    parts = few(_edges(sums.join(need, F.col("s").eqNullSafe(F.col("n"))), "part").toDF("n", "p", "missing"))
+    inside = own.join(parts, F.col("s").eqNullSafe(F.col("n")) & (F.col("part") == F.col("p")))
+    inside = inside.groupBy("s", "order", "file").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+    edges = _edges(inside, "order", "file").toDF("e", "cut_order", "cut_file", "missing")
+    edges = durable(edges, "edges")
+    stored = own.join(few(edges), F.col("s").eqNullSafe(F.col("e")) & (F.col("order") == F.col("cut_order")) & (F.col("file") == F.col("cut_file")))
     # Rows equal in order are equal in size.
     line = F.row_number().over(Window.partitionBy("s").orderBy("line"))
     lines = stored.withColumn("k", line).filter(F.col("k") == F.floor(F.col("missing") / F.col("size")) + 1)
-    lines = durable(lines.select(F.col("s").alias("ls"), "line", (F.col("missing") % F.col("size")).alias("rest")), "lines")
-    cuts = orders.select(F.col("e").alias("os"), F.col("edge").alias("cut_order"))
-    cuts = cuts.join(files.select(F.col("e").alias("fs"), F.col("edge").alias("cut_file")), F.col("os").eqNullSafe(F.col("fs")), "left")
-    cuts = cuts.join(lines, F.col("os").eqNullSafe(F.col("ls")), "left")
+    cuts = lines.select(F.col("s").alias("os"), "cut_order", "cut_file", "line", (F.col("missing") % F.col("size")).alias("rest"))
     goal = goal.join(cuts, F.col("s").eqNullSafe(F.col("os")), "left")
     # A source without an edge misses nothing, or as much as it has (then all its rows fit).
     goal = goal.select(
