@@ -214,49 +214,36 @@ def resolve_sources(
     include: list[str] | None = None,
     only: list[str] | None = None,
 ) -> tuple[list[str] | None, list[str]]:
-    """The sources that a question is asked of (None: all, []: none) and warnings. The list of sources is small and local.
+    """The sources that a question is asked of (None: all, []: none) and notes. The list of sources is small and local.
 
-    ``only`` wins over the rest; include wins over exclude; unknown names are noted with the closest known one.
+    ``only`` stands alone. Else a base (all sources, or none) loses what is excluded and gains what is included, so that including
+    wins. What names nothing, or leaves nothing, asks all sources; an empty ``only`` asks none. A name that is no source is noted
+    with the nearest one, unless it is excluded and included alike.
     """
-    known, notes = set(available), []
-
-    def note(name: str, where: str) -> None:
-        near = get_close_matches(name, sorted(known), n=1, cutoff=0.6)
-        notes.append(f"Note: Source '{name}' not found{where}." + (f" Did you mean '{near[0]}'?" if near else ""))
-
-    def everything() -> tuple[None, list[str]]:
-        if notes:
-            notes.append("Searching all available public sources instead.")
-        return None, notes
-
+    known, base = set(available), (mode or "all").lower()
+    lists = {"only": only or []} if only is not None else {"excluded": exclude or [], "included": include or []}
+    if only is None and base not in ("all", "none"):
+        return None, [f"{mode!r} is no way to choose sources; all are searched."]
+    named = {where: set(names) for where, names in lists.items()}
+    twice = named.get("excluded", set()) & named.get("included", set())
+    notes = [f"{name!r} is excluded and included; it is searched." for name in sorted(twice)]
+    for where, names in lists.items():
+        if where == "excluded" and base == "none":
+            continue  # nothing to exclude from
+        for name in names:
+            if name not in known and not (where == "excluded" and name in twice):
+                near = get_close_matches(name, sorted(known), n=1, cutoff=0.6)
+                notes.append(f"No source is called {name!r} ({where})." + (f" The nearest is {near[0]!r}." if near else ""))
     if only is not None:
-        if not only:
-            return [], []
-        for name in only:
-            if name not in known:
-                note(name, "")
         chosen = [name for name in only if name in known]
-        return (chosen, notes) if chosen else everything()
-    mode, exclude, include = (mode or "all").lower(), exclude or [], include or []
-    both = set(exclude) & set(include)
-    notes += [f"Note: '{name}' was both excluded and included - including it." for name in sorted(both)]
-    if mode not in ("all", "none"):
-        notes.append(f"Note: Invalid source_mode '{mode}'. Using 'all'.")
-        return None, notes
-    chosen = set(known) if mode == "all" else set()
-    for name in exclude if mode == "all" else []:
-        if name in known:
-            chosen -= {name} - both
-        elif name not in both:
-            note(name, " in exclude list")
-    for name in include:
-        if name in known:
-            chosen.add(name)
-        else:
-            note(name, " in include list" if mode == "all" else "")
-    if mode == "none" and not chosen:
-        return everything()
-    return (None if chosen == known else sorted(chosen)), notes
+        if chosen or not only:
+            return chosen, notes
+    else:
+        start = known - named["excluded"] if base == "all" else set()
+        chosen = sorted(start | named["included"] & known)
+        if base == "all" or chosen:
+            return (None if set(chosen) == known and base == "all" else chosen), notes
+    return None, notes + ["All sources are searched."] * bool(notes)
 
 
 def search_with_fallback(docs: DataFrame, query: str, k: int, sources: list[str] | None, vectors: DataFrame | None, embedder=None) -> DataFrame:

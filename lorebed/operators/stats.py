@@ -39,10 +39,13 @@ def category_stats(docs: DataFrame) -> DataFrame:
 
 
 def counts_over(df: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:
-    """Rows by a column's value over a fixed domain; values that don't occur count 0, others aren't counted."""
-    values = df.sparkSession.createDataFrame([(x,) for x in domain], f"{column} string")
-    counted = df.filter(F.col(column).isin(*domain)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return values.join(counted, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("count"))
+    """Rows by a column's value over a fixed domain; values that don't occur count 0, others aren't counted.
+
+    One sum a value, so that nothing is filtered by the column first (which would work it out twice).
+    """
+    sums = df.select(column).agg(*[F.count_if(F.col(column) == x).alias(x) for x in domain])
+    pairs = F.array(*[F.struct(F.lit(x).alias(column), F.col(f"`{x}`").alias("count")) for x in domain])
+    return sums.select(F.inline(pairs))
 
 
 def topics_by_source(docs: DataFrame, topics: tuple[str, ...] = TOPICS, most: int = 5) -> DataFrame:
@@ -54,9 +57,12 @@ def topics_by_source(docs: DataFrame, topics: tuple[str, ...] = TOPICS, most: in
 
 
 def title_terms(docs: DataFrame, stop: list[str], least: int = 2) -> DataFrame:
-    """How often normalised words of three letters or more stand in titles, without stop words."""
-    words = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"\b([a-z]{3,})\b"), F.lit(1)))
-    terms = docs.select(words.alias("word")).filter(~F.col("word").isin(*stop)).select(normalise(F.col("word")).alias("term"))
+    """How often normalised words of three letters (a to z) or more stand in titles, without stop words.
+
+    A word is a whole run of letters, digits and underscores of any script.
+    """
+    words = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    terms = docs.select(words.alias("word")).filter(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(*stop)).select(normalise(F.col("word")).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 

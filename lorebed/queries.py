@@ -241,18 +241,13 @@ def _normalised(tag: str) -> str:
         WHEN length({tag}) > 3 AND {tag} LIKE '%s' AND NOT regexp_matches({tag}, '(ss|us|is)$') THEN {tag}[:-2] ELSE {tag} END"""
 
 
-_TERMS = f"""{DOCS}, w AS (SELECT unnest(regexp_extract_all(lower(title), '\\b([a-z]{{3,}})\\b', 1)) AS word FROM docs WHERE lang = 'en'),
-terms AS (SELECT {_normalised("word")} AS term, count(*) AS n FROM w WHERE word NOT IN ({", ".join(f"'{s}'" for s in STOP)}) GROUP BY 1 HAVING count(*) >= 2)"""
-
-
-def _title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = corpus(spark, sf_dir).filter(F.col("lang") == "en")
-    return stats.title_terms(english, STOP)
+_TERMS = f"""{DOCS}, w AS (SELECT unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM docs),
+terms AS (SELECT {_normalised("word")} AS term, count(*) AS n FROM w WHERE regexp_matches(word, '^[a-z]{{3,}}$') AND word NOT IN ({", ".join(f"'{s}'" for s in STOP)}) GROUP BY 1 HAVING count(*) >= 2)"""
 
 
 @query(f"WITH {_TERMS} SELECT * FROM terms")
 def term_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _title_terms(spark, sf_dir)
+    return stats.title_terms(corpus(spark, sf_dir), STOP)
 
 
 VOCABULARY = {"articles": ["the ", "der ", "les "], "links": ["and", "und", "et"], "notes": ["note", "issue"], "never": ["zzzz"]}
@@ -276,7 +271,7 @@ lift AS (SELECT coalesce(max(n) + 1, 10000) AS l FROM terms),
 u AS (SELECT topic AS tag, CAST(score + l AS BIGINT) AS score, 'topic' AS kind FROM topics, lift UNION ALL SELECT term, n, 'term' FROM terms)
 SELECT tag, max(score) AS score, max(kind) AS kind FROM u GROUP BY tag ORDER BY 2 DESC, 1 LIMIT 200""")
 def combined_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.combined_tags(stats.topic_scores(corpus(spark, sf_dir), VOCABULARY), _title_terms(spark, sf_dir))
+    return stats.combined_tags(stats.topic_scores(corpus(spark, sf_dir), VOCABULARY), stats.title_terms(corpus(spark, sf_dir), STOP))
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,14 +419,14 @@ def rename_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT count(*) FILTER (m IS NOT NULL) AS metadata, count(*) FILTER (v IS NOT NULL) AS vectors, count(*) FILTER (v IS NULL) AS without_vector,
-       count(*) FILTER (m IS NULL) AS without_metadata FROM (SELECT d.doc_id AS m, e.vec_id AS v FROM documents d FULL JOIN (SELECT * FROM embeddings WHERE vec_id % 9 <> 0) e ON d.doc_id = e.vec_id)""")
+       count(*) FILTER (m IS NULL) AS without_metadata FROM (SELECT d.doc_id AS m, e.vec_id AS v FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id)""")
 def id_crossref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors_ = table(spark, sf_dir, "embeddings").filter("vec_id % 9 <> 0").select(F.col("vec_id").alias("doc_id"))
+    vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return sync.crossref(table(spark, sf_dir, "documents"), vectors_)
 
 
 @query("""WITH c AS (SELECT count(*) FILTER (m IS NOT NULL) AS metadata, count(*) FILTER (v IS NOT NULL) AS vectors, count(*) FILTER (v IS NULL) AS without_vector,
-       count(*) FILTER (m IS NULL) AS without_metadata FROM (SELECT d.doc_id AS m, e.vec_id AS v FROM documents d FULL JOIN (SELECT * FROM embeddings WHERE vec_id % 9 <> 0) e ON d.doc_id = e.vec_id)),
+       count(*) FILTER (m IS NULL) AS without_metadata FROM (SELECT d.doc_id AS m, e.vec_id AS v FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id)),
 r AS (SELECT *, round((metadata - without_vector) / metadata, 4) AS coverage, round(without_metadata / vectors, 4) AS orphaned FROM c)
 SELECT *, CASE WHEN coverage < 0.5 THEN 'invalid' WHEN coverage < 0.9 OR orphaned > 0.05 THEN 'warning' ELSE 'ok' END AS state FROM r""")
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,19 +435,20 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- vectors -----------------------------------------------------------------------------------------------------
 
-_BAD = """b AS (SELECT vec_id AS id, 'src' || label AS source, CASE WHEN vec_id % 10 = 1 THEN list_transform(embedding, lambda x: 0.0) WHEN vec_id % 10 = 3 THEN NULL ELSE embedding END AS e FROM embeddings WHERE vec_id % 4 <> 0)"""
+_VECTORS = """v AS (SELECT 'src' || label AS source, embedding AS e, e IS NULL OR len(e) = 0 OR len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 AS corrupt,
+  len(e) = 64 AS sized, len(list_filter(e, lambda x: x <> 0)) = 0 AS zero FROM embeddings)"""
 
 
-@query(f"""WITH {_BAD} SELECT count(*) AS total, count(*) FILTER (e IS NULL) AS corrupt, 0::BIGINT AS wrong_dim, count(*) FILTER (e IS NOT NULL AND list_max(e) = 0 AND list_min(e) = 0) AS zero,
-           count(*) FILTER (e IS NOT NULL AND (list_max(e) <> 0 OR list_min(e) <> 0)) AS sound FROM b""")
+@query(f"""WITH {_VECTORS} SELECT count(*) AS total, count(*) FILTER (corrupt) AS corrupt, count(*) FILTER (NOT corrupt AND NOT sized) AS wrong_dim,
+           count(*) FILTER (NOT corrupt AND sized AND zero) AS zero, count(*) FILTER (NOT corrupt AND sized AND NOT zero) AS sound FROM v""")
 def vector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding")
-    return stats.vector_quality(_stored(spark, sf_dir), 64, vectors.is_corrupt(v), vectors.is_null_or_zero(v))
+    return stats.vector_quality(vector_store(spark, sf_dir), 64, vectors.is_corrupt(v), vectors.is_null_or_zero(v))
 
 
-@query(f"WITH {_BAD} SELECT source, count(*) FILTER (e IS NULL) AS total_null, count(*) FILTER (list_max(e) = 0 AND list_min(e) = 0) AS total_zero FROM b GROUP BY source")
+@query(f"WITH {_VECTORS} SELECT source, count(*) FILTER (e IS NULL) AS total_null, count(*) FILTER (zero) AS total_zero FROM v GROUP BY source")
 def zero_vector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bad_vectors(_stored(spark, sf_dir))
+    return stats.bad_vectors(vector_store(spark, sf_dir))
 
 
 @query("""WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY 1, 2)
@@ -866,11 +862,11 @@ def json_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.json_captions(lists.select("video_id", F.to_json(F.struct("segments")).alias("text")))
 
 
-@query("SELECT DISTINCT source AS source_id FROM documents")
+@query("SELECT DISTINCT source AS source_id FROM documents WHERE source IS NOT NULL")
 def published_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     listing = docs.select(F.concat("source", F.lit("/pages/"), F.col("doc_id").cast("string")).alias("key"))
-    return archives.published(docs.select(F.col("source").alias("source_id")).limit(0), listing)
+    return archives.published(docs.select(F.col("source").alias("source_id")).filter("source_id is not null").distinct(), listing)
 
 
 @query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS total FROM documents)

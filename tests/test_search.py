@@ -91,13 +91,17 @@ def test_sources():
     assert search.resolve_sources(known, only=[]) == ([], [])
     assert search.resolve_sources(known, only=["wiki"]) == (["wiki"], [])
     chosen, notes = search.resolve_sources(known, only=["wikki"])
-    assert chosen is None and "Did you mean 'wiki'" in notes[0] and len(notes) == 2
+    assert chosen is None and "nearest is 'wiki'" in notes[0] and len(notes) == 2
     assert search.resolve_sources(known, exclude=["wiki"])[0] == ["alpha", "beta"]
     assert search.resolve_sources(known, "none", include=["wiki"])[0] == ["wiki"]
     assert search.resolve_sources(known, "none") == (None, [])
     chosen, notes = search.resolve_sources(known, exclude=["wiki"], include=["wiki"])
-    assert chosen is None and "both excluded and included" in notes[0]
-    assert "Invalid source_mode" in search.resolve_sources(known, "odd")[1][0]
+    assert chosen is None and "excluded and included" in notes[0]
+    assert search.resolve_sources(known, "odd")[0] is None and "'odd'" in search.resolve_sources(known, "odd")[1][0]
+    assert search.resolve_sources(known, exclude=known) == ([], [])
+    assert search.resolve_sources(known, "none", include=known)[0] == known
+    assert search.resolve_sources(known, "none", include=["alfa", "beta"])[0] == ["beta"]
+    assert search.resolve_sources(known, exclude=["gone"], include=["gone"])[1] == ["'gone' is excluded and included; it is searched.", "No source is called 'gone' (included)."]
 
 
 def test_intent_and_generic(spark):
