@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from lorebed.llm import html_text
@@ -93,3 +96,108 @@ def test_menus_on_many_pages_of_a_large_host_go_and_near_copies_stay(spark):
     assert all(got[i] == f"Head {i}\n{_prose(i)}" for i in range(400))
     assert all(got[2000 + i] == f"{_prose('c')}\n{_prose('d')}\nOn day {i}" for i in range(6))
     assert all(got[3000 + i] == "Same head\nShort prose" for i in range(9))
+
+
+N = 200_000
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<a " * N, '<a href="' * N, "<a href='x\" " * N, "<b>" * N, "<div>a" * N, "<div>a" * N + "</div>" * N, "<p><button>" + "<div>" * N,
+        "<" * N, "<!--" * N, "<ul><li>" * N, "<dl><dd>" * N, "<table><tr><td>" * (N // 2), "&" * N, "<p>&#" + "9" * N + ";", "<a " + "=" * N,
+        "<a " + "class='" * N + ">", "<script>" * N, "</" * N, "<p><b>" * N + "</p>" * N, "<b><i>" * N + "</b>" * N,
+    ],
+)
+def test_hostile_markup_is_read_in_linear_time(source):
+    began = time.process_time()
+    page = Page(source)
+    page.hashes()
+    page.text({key for key, *_ in page.subtrees[::2]})
+    assert time.process_time() - began < 20  # a quadratic reader takes hours
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<p class=\"a>b</p><p>c</p>\">d", "d"),  # a quote goes on to its end
+        ("<p class=\"a>b</p>", ""),
+        ("<p a'b>c", "c"),  # only after = does a quote open a value
+        ("<p a=b'c>d", "d"),
+        ("<p a = '>'>d", "d"),
+        ("a<!-->b<!--->c<!-- > -->d<!x>e</>f</ x>g", "abcdefg"),
+        ("<p>&#" + "0" * 5000 + "65; &#" + "9" * 5000 + "; &#x" + "0" * 5000 + "42;", "A \ufffd B"),
+    ],
+)
+def test_markup_is_read_as_browsers_do(source, text):
+    assert Page(source).text() == text
+
+
+class _Tree(HTMLParser):
+    """Well-formed pages as nested lists: a plain reading of subtrees."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.stack = [["root"]]
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        self.stack.append([tag, dict(attrs).get("class", "")])
+        self.stack[-2].append(self.stack[-1])
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.stack[-1].append(data.strip())
+
+
+def _subtrees(node):
+    for child in node[1:]:
+        if isinstance(child, list):
+            yield child
+            yield from _subtrees(child)
+
+
+def _plain_text(node, template):
+    return [y for x in node[2:] if repr(x) not in template for y in ([x] if isinstance(x, str) else _plain_text(x, template))]
+
+
+def test_templates_against_a_plain_count_of_subtrees(spark):
+    """Divisions of words on some pages of some hosts: which go is a matter of counts alone."""
+    import random
+
+    rnd = random.Random(3)
+    parts = [f"<div class=c{k}><div>label {k}</div><div>more {k}</div></div>" for k in range(12)]
+    rows = []
+    for host in range(6):
+        for i in range(rnd.choice([4, 9, 30])):
+            own = "".join(part for k, part in enumerate(parts) if rnd.random() < (0.9 if k % 6 == host else 0.04))
+            rows.append((len(rows), f"https://h{host}.org/{i}", f"<body><div>{_prose(len(rows))}</div>{own}<div>end {len(rows)}</div></body>"))
+    trees = {i: _Tree(h).stack[0][1] for i, _, h in rows}
+    host_of = {i: u.split("/")[2] for i, u, _ in rows}
+    pages = {h: [i for i in trees if host_of[i] == h] for h in set(host_of.values())}
+    has = {i: {repr(x) for x in _subtrees(["root", trees[i]])} for i in trees}
+    told = {}
+    for h, own in pages.items():
+        for x in set().union(*(has[i] for i in own)):
+            n, other = sum(x in has[i] for i in own), sum(x in has[i] for i in trees if host_of[i] != h)
+            lifted = n * (len(trees) - len(own)) >= 10 * other * len(own)
+            if len(own) >= 5 and n >= 5 and n >= 0.2 * len(own) and (lifted or 2 * n >= len(own)):
+                told.setdefault(h, set()).add(x)
+    want = {i: "\n".join(_plain_text(trees[i], told.get(host_of[i], set()))) for i in trees}
+    got = {r.page_id: r.text for r in html_text.extract(_pages(spark, rows)).collect()}
+    assert got == want
+    assert sum(want[i] != "\n".join(_plain_text(trees[i], set())) for i in want) > 30  # pages that the template changes
+
+
+def test_passages_that_recur_on_all_hosts_stay(spark):
+    """A line that many documents share is no site's template, however many pages of a large host have it."""
+    line = "<p>A line that a seventh of all documents share.</p>"
+    rows = [
+        (i, f"https://{'big' if i < 400 else f'h{i % 20}'}.org/{i}", f"<body><article><h1>Head {i}</h1><p>{_prose(i)}</p>{line if i % 7 == 0 else ''}</article></body>")
+        for i in range(700)
+    ]
+    got = {r.page_id: r.text for r in html_text.extract(_pages(spark, rows)).collect()}
+    assert all(got[i].endswith("documents share.") == (i % 7 == 0) for i in got)
