@@ -2,13 +2,15 @@
 
 A byte-level BPE with the usual pre-tokenizer never lets a token span the place where white space follows another
 character. A text can therefore be cut there, and the ids of the pieces joined are the ids of the text. Pieces
-(a word with its leading space) repeat, so each worker keeps a bounded dictionary of them.
+(a word with its leading space) repeat, so each worker keeps a bounded dictionary of them. Marks after a word's letters
+are tokens of their own, so a new word with marks is made of the word's ids and the marks'.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterable
 from itertools import chain
 
@@ -34,9 +36,15 @@ class UnitEncoder:
     def __init__(self, vocabulary: str, memory: int = 800_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: The same without byte-level cutting, for ASCII letters after a blank: one piece that reads as it is but for the blank.
+        self.letters = None
+        if self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel":
+            self.letters = Tokenizer.from_file(vocabulary)
+            self.letters.pre_tokenizer = CharDelimiterSplit(" ")
         words = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if len(words) <= 1 << 16 else np.dtype("<u4")
         self.n_bytes = np.zeros(max(words.values()) + 1, dtype=np.int64)  # a byte-level token has a character a byte
@@ -46,33 +54,69 @@ class UnitEncoder:
         #: Ids by unit without its leading blank; units that start with a line feed have none. None: cut by the general rule.
         self.after_blank: dict[str, bytes | None] = {}
         self.as_is: dict[str, bytes] = {}
+        #: Ids of the marks that follow a word's letters.
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def _learn(self, units: set[str], at_once: int = 2000) -> list[str]:
-        """Encode units that are new, many in one text; those too long to be kept are returned."""
-        plain = []
-        for unit in units:
-            line = unit[:1] == "\n"
-            if unit.split() == [unit[line:]]:
-                plain.append(unit if line else " " + unit)
-            elif unit in ("", "\n"):  # at the end of a text
-                self.after_blank[unit] = self._ids([unit or " "])[0]
+    def _learn(self, units: set[str]) -> list[str]:
+        """Encode units that are new; those too long to be kept are returned."""
+        known, marked = self.after_blank, []
+        whole = {x for x in units if x.isalnum()}
+        for unit in units - whole:
+            core = unit.rstrip(string.punctuation)
+            if core != unit and core.isalpha() and len(unit) <= self.longest:
+                marked.append((unit, core, unit[len(core) :]))
+                if core not in known:
+                    whole.add(core)
             else:
-                self.after_blank[unit] = None
-        for start in range(0, len(plain), at_once):
-            part = plain[start : start + at_once]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.cumsum([len(x.encode()) for x in part])
+                whole.add(unit)
+        self._learn_whole(list(whole))
+        if len(self.marks) > self.memory:
+            self.marks.clear()
+        for unit, core, marks in marked:
+            ids = self.marks.get(marks)
+            if ids is None:
+                both = self._ids([" " + core + marks])[0]
+                if not both.startswith(known[core]):
+                    raise ValueError("the vocabulary does not cut words from the marks that follow them")
+                ids = self.marks[marks] = both[len(known[core]) :]
+            known[unit] = known[core] + ids
+        return [x for x in units if len(x) > self.longest]
+
+    def _learn_whole(self, units: list[str]) -> None:
+        """Encode units, many at once."""
+        known = self.after_blank
+        bare = [x[1:] if x[:1] == "\n" else x for x in units]
+        if " ".join(bare).split() != bare:  # some are empty or hold other white space
+            odd = {unit for unit, x in zip(units, bare, strict=True) if x.split() != [x]}
+            for unit in odd:
+                # "" and a line feed are the end of a text
+                known[unit] = self._ids([unit or " "])[0] if unit in ("", "\n") else None
+            units = [x for x in units if x not in odd]
+        plain = [x for x in units if x.isascii() and x.isalpha()] if self.letters else []
+        if plain:
+            units = [x for x in units if not (x.isascii() and x.isalpha())]
+            self._learn_parts(self.letters, plain, ["\u0120" + x for x in plain], " ")
+        self._learn_parts(self.tokenizer, units, [x if x[0] == "\n" else " " + x for x in units], "")
+
+    def _learn_parts(self, tokenizer, units: list[str], parts: list[str], between: str, at_once: int = 2048, a_text: int = 32) -> None:
+        """The ids of ``parts``, joined to short texts; where each ends is told by its bytes."""
+        width = self.dtype.itemsize
+        for start in range(0, len(units), at_once):
+            part = parts[start : start + at_once]
+            texts = [between.join(part[i : i + a_text]) for i in range(0, len(part), a_text)]
+            found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable(x.ids for x in found)), dtype=np.int64)
+            ends = np.cumsum(list(map(len, part)) if between or all(map(str.isascii, texts)) else [len(x.encode()) for x in part])
             last = np.searchsorted(done := np.cumsum(self.n_bytes[ids]), ends)
             if not np.array_equal(done[last], ends):
                 raise ValueError("the vocabulary is not a byte-level one that cuts words at white space")
-            ids = ids.astype(self.dtype)
-            for unit, a, b in zip(part, [0, *(last[:-1] + 1)], last + 1, strict=True):
-                self.after_blank[unit if unit[0] == "\n" else unit[1:]] = ids[a:b].tobytes()
-        return [x for x in units if len(x) > self.longest]
+            raw, cuts = ids.astype(self.dtype).tobytes(), ((last + 1) * width).tolist()
+            values = (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
+            self.after_blank.update(zip(units[start : start + at_once], values, strict=True))
 
     def _general(self, text: str) -> bytes:
         units = _UNITS.findall(text)
