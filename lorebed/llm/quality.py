@@ -166,15 +166,21 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
-    """Fit on at most ``sample`` labelled rows that are not held out."""
+    """Fit on at most ``sample`` labelled ids that are not held out.
+
+    An id counts once: of several labels the smallest, of several rows the one whose text is least by a hash.
+    """
     bound_batches(docs.sparkSession)
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = [(r.doc_id, r.quality) for r in chosen.collect()]
     if not rows:
         return FactorisationMachine.constant()
     chosen = docs.sparkSession.createDataFrame(rows, "doc_id long, quality int")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``sample`` rows of two numbers
+    own = F.struct(F.xxhash64("text").alias("h"), "text")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(own)["text"].alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -190,8 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     cut = slots.offsets.to_numpy()[1:-1]
     own = list(zip(np.split(slots.values.to_numpy(), cut), np.split(x.values.to_numpy(), cut), strict=True)) if len(found) else []
     ids, quality = found.column("doc_id").to_numpy(), found.column("quality").to_numpy()
-    # rows arrive in any order and an id may have several
-    order = sorted(range(len(own)), key=lambda i: (ids[i], quality[i], own[i][0].tobytes(), own[i][1].tobytes()))[: 2 * sample]
+    order = np.argsort(ids, kind="stable")  # rows arrive in any order
     return FactorisationMachine.fit([own[i] for i in order], quality[order].astype(np.float64))
 
 

@@ -3,12 +3,12 @@
 File format: a Parquet table of blocks. A block holds the ids of consecutive documents end to end (``ids``: little-endian
 unsigned 16 or 32 bits, ``width`` bytes each) and where each document ends (``bounds``: an Elias-Fano sequence). Blocks of
 a shard follow each other by ``block``; shards follow each other by ``shard``; documents ascend throughout. No table
-of 64-bit offsets is kept: a document's place is its block's place plus what the select structure answers.
+of 64-bit offsets is kept: a document's place is its block's place plus what the select structure answers, and the reader asks it.
 
 Elias-Fano layout, little-endian: uint32 n, uint32 universe, uint8 l; the l low bits of each value, packed; the high
 parts in unary, packed; one uint32 position for each 64th one-bit of the unary part (the select samples).
 
-Nulls and other cases: a null text is empty (only the end id); null doc_ids come first; equal doc_ids are ordered by text;
+Nulls and other cases: a null text is empty (only the end id); null doc_ids come first; equal doc_ids are ordered by a hash of the text;
 an empty table gives no rows; further columns of the input are ignored. Texts of any length stay whole: a document larger
 than a block gets a block of its own.
 """
@@ -73,6 +73,10 @@ class EliasFano:
         window = int.from_bytes(self.data[self._low + (first >> 3) : self._low + ((first + self.low_bits + 7) >> 3)], "little")
         return (place - i) << self.low_bits | window >> (first & 7) & ((1 << self.low_bits) - 1)
 
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the i-th of consecutive items that end at the values starts and ends."""
+        return (self.select(i - 1) if i else 0), self.select(i)
+
     def values(self) -> np.ndarray:
         """All values at once."""
         raw = np.frombuffer(self.data, dtype=np.uint8)
@@ -114,7 +118,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, b
         if doc_ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash and the row's number split an id of very many rows over several shards.
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    ordered = own.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
@@ -128,13 +134,12 @@ def read_tokens(spark, path: str) -> DataFrame:
     def documents(batches):
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                bounds = EliasFano(row["bounds"]).values()
-                ids, width, starts = row["ids"], row["width"], np.concatenate(([0], bounds[:-1]))
+                bounds, ids, width = EliasFano(row["bounds"]), row["ids"], row["width"]
+                spans = [bounds.span(i) for i in range(bounds.n)]
                 wide = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts, bounds, strict=True)]
-                own = [ids[a * width : b * width] for a, b in zip(starts, bounds, strict=True)]
-                n = len(bounds)
-                columns = [row["doc_ids"], [row["shard"]] * n, starts + row["before"], bounds - starts, crc, own, [width] * n]
+                crc, own = [zlib.crc32(wide[a:b]) for a, b in spans], [ids[a * width : b * width] for a, b in spans]
+                starts, sizes = [row["before"] + a for a, _ in spans], [b - a for a, b in spans]
+                columns = [row["doc_ids"], [row["shard"]] * bounds.n, starts, sizes, crc, own, [width] * bounds.n]
                 yield pa.record_batch([pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
     stored = spark.read.schema(BLOCKS).parquet(path)

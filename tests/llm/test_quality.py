@@ -44,6 +44,17 @@ def test_held_out_rows_teach_nothing(spark, small):
     assert (a.linear == b.linear).all() and a.bias == b.bias
 
 
+def test_an_id_of_many_rows_teaches_once(spark, make):
+    good, bad = "a fine text of many plain words", "!!! $$$ buy buy buy !!!"
+    rows = [(i, f"{good if i % 2 else bad} {i}", "a") for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows] * 2, "doc_id long, quality int")
+    first = rows[0]
+    once, often = qu.train(make(rows), labels), qu.train(make(rows + [first] * 500).repartition(7), labels)
+    assert (once.linear == often.linear).all() and once.bias == often.bias
+    several = qu.train(make(rows + [(first[0], f"{good} {k}", "a") for k in range(500)]), labels)
+    assert len(rows) >= 20 and several.bias == pytest.approx(once.bias, abs=1.0)
+
+
 def test_odd_documents(spark, make, odd_rows):
     docs = make(odd_rows)
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (99, 0)], "doc_id long, quality int")

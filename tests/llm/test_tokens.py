@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,12 +46,28 @@ def test_elias_fano_is_small():
     assert len(EliasFano.encode(ends).data) < 5000 * 2  # under 16 bits a value, against 64
 
 
+def spark_hash(text):
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (h >> 63 << 64)
+
+
+def test_an_id_of_many_rows_is_split(spark, make, tmp_path):
+    path, key = f"{tmp_path}/tokens", "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # so little would be one shard
+    token_store.write_tokens(make([(1, "same words", "a")] * 3000 + [(2, "other", "b")]).repartition(3), path, default_vocabulary())
+    spark.conf.unset(key)
+    got = token_store.read_tokens(spark, path)
+    assert got.count() == 3001 and got.orderBy("start").tail(1)[0].doc_id == 2
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("shard").agg({"n_docs": "sum"}).withColumnRenamed("sum(n_docs)", "count").collect()]
+    assert len(sizes) > 1 and max(sizes) < 2000
+
+
 @pytest.mark.parametrize("block_ids", [64, 1 << 17])
 def test_files_give_back_every_document(spark, make, odd_rows, coder, tmp_path, block_ids):
     path = f"{tmp_path}/tokens"
     token_store.write_tokens(make(odd_rows), path, default_vocabulary(), 2, block_ids)
     got = token_store.read_tokens(spark, path).orderBy("start").collect()
-    rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1])))
     at = 0
     assert len(got) == len(rows)
     for g, (doc_id, text, _) in zip(got, rows, strict=True):
