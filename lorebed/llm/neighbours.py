@@ -7,7 +7,7 @@ distances in double precision.
 
 Equal vectors are one candidate with its smallest ids, so a vector that a third of the rows share fills no bucket. A bucket's
 queries come first in its partition and its candidates stream past them, so no bucket is ever held; buckets of more
-than ``block`` candidates are dealt to several tasks. The width is the smallest that reaches the wanted recall on a
+than ``block`` candidates or ``ask`` queries are dealt to several tasks, each part of the ones meeting each part of the others. The width is the smallest that reaches the wanted recall on a
 bounded sample of rows (a sample is sparser than the table, so its neighbours are farther and harder to find).
 
 Queries whose probes reach fewer than ``k`` candidates (outliers, sparse clusters beside dense ones), and all queries where no
@@ -196,15 +196,22 @@ def search(
     kinds = f"t int, bucket long, id long, embedding {dict(distinct.dtypes)['embedding']}"
     index = distinct.select("rep", "embedding").mapInArrow(filed, kinds)
     probing = asked_distinct.select("q", "embedding").mapInArrow(asking, kinds)
-    # Large buckets: few, each of more than ``block`` candidates.
-    large = index.groupBy("t", "bucket").count().filter(F.col("count") > block)
-    large = durable(large.select("t", "bucket", F.ceil(F.col("count") / block).cast("int").alias("parts")), "large")
+    # Large buckets: few, of more than ``block`` candidates or ``ask`` queries. Each part of the one meets each part of the other.
+    key = ["t", "bucket"]
+    many = index.groupBy(*key).count().filter(F.col("count") > block).select(*key, F.ceil(F.col("count") / block).cast("int").alias("parts"), F.lit(1).alias("asks"))
+    if asked_distinct.count() > ask:
+        often = probing.groupBy(*key).count().filter(F.col("count") > ask)
+        many = many.union(often.select(*key, F.lit(1), F.ceil(F.col("count") / ask).cast("int")))
+    large = durable(many.groupBy(*key).agg(F.max("parts").alias("parts"), F.max("asks").alias("asks")), "large")
     n_large = large.count()
     if n_large:
         large = F.broadcast(large) if n_large <= 100_000 else large
-        one = F.coalesce("parts", F.lit(1))
-        index = index.join(large, ["t", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), one).cast("int"))
-        probing = probing.join(large, ["t", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1)))
+        parts, asks = F.coalesce("parts", F.lit(1)), F.coalesce("asks", F.lit(1))
+        own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        index = index.join(large, key, "left").withColumn("c", own(parts)).withColumn("q", every(asks))
+        probing = probing.join(large, key, "left").withColumn("q", own(asks)).withColumn("c", every(parts))
+        index, probing = (x.withColumn("part", F.col("c") * asks + F.col("q")) for x in (index, probing))
     else:
         index, probing = index.withColumn("part", F.lit(0)), probing.withColumn("part", F.lit(0))
     columns = ["t", "bucket", "part", "kind", "id", "embedding"]

@@ -27,13 +27,13 @@ def search(spark, rows, **options):
     return got
 
 
-@pytest.mark.parametrize("block", [50_000, 50])
-def test_recall_and_exact_scores(spark, block):
+@pytest.mark.parametrize("block,ask", [(50_000, 16_384), (50, 16_384), (50, 2), (50_000, 2)])
+def test_recall_and_exact_scores(spark, block, ask):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 16))
     x = centres[rng.integers(0, 6, 1500)] + rng.normal(size=(1500, 16)) * 0.5
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
-    got, want = search(spark, rows, sample=400, block=block), brute(rows)
+    got, want = search(spark, rows, sample=400, block=block, ask=ask), brute(rows)
     assert set(got) == set(want)
     hits = [len({j for _, j in got[q]} & {j for _, j in want[q]}) / 10 for q in want]
     assert np.mean(hits) >= 0.9
