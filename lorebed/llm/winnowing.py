@@ -93,6 +93,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
+def covered(own: tuple[np.ndarray, np.ndarray], other: np.ndarray, n_chars: int, k: int = GRAM) -> float:
+    """The share of a text's code points that lie in k-grams whose chosen hashes the other text has too, by their positions."""
+    hashes, positions = own
+    at = positions[np.isin(hashes, other)]
+    if not len(at):
+        return 0.0
+    k = min(k, n_chars)
+    return float(np.minimum(np.diff(at), k).sum() + k) / n_chars
+
+
 def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """doc_id, hashes and positions of each row of ``docs`` (doc_id, text)."""
     bound_batches(docs.sparkSession)
@@ -118,7 +128,7 @@ def edited(text: str, following: str) -> str:
 
 OUT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
-    "near_next double"
+    "near_next double, covered_edited double"
 )
 
 
@@ -153,12 +163,15 @@ def with_following(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
 
 def edit_likeness(docs: DataFrame, k: int = GRAM, w: int = WINDOW, ranges: int | None = None) -> DataFrame:
-    """Fingerprint each whole text, its edited text and the next document, and compare."""
+    """Fingerprint each whole text, its edited text and the next document, and compare.
+
+    ``covered_edited`` is the share of the text that positions of shared hashes cover: what is at least unchanged of it.
+    """
     bound_batches(docs.sparkSession)
     dealt = with_following(docs, ranges).withColumn("known", F.col("doc_id").isNotNull())
     ordered = dealt.repartition("range").sortWithinPartitions("range", "guest", "known", "doc_id", "text").drop("known")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "covered_edited"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
 
     def run(batches):
         waiting = None  # the row before, whose follower comes next
@@ -170,15 +183,17 @@ def edit_likeness(docs: DataFrame, k: int = GRAM, w: int = WINDOW, ranges: int |
                     if guest and (waiting is None or waiting[0] != at):
                         continue  # only the first guest follows
                     text = text or ""
-                    hashes = winnow(text, k, w)[0]
+                    chosen = winnow(text, k, w)
                     if waiting is not None and waiting[0] == at:
-                        _, own_id, own, own_hashes = waiting
+                        _, own_id, own, own_chosen = waiting
+                        own_hashes = own_chosen[0]
                         changed = edited(own, text)
                         changed_hashes = winnow(changed, k, w)[0]
                         sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                        near = likeness(own_hashes, changed_hashes), likeness(own_hashes, hashes)
-                        out.append((own_id, len(own), sha, digest(own_hashes), digest(changed_hashes), *near))
-                    waiting = None if guest else (at, doc_id, text, hashes)
+                        near = likeness(own_hashes, changed_hashes), likeness(own_hashes, chosen[0])
+                        share = covered(own_chosen, changed_hashes, len(own), k)
+                        out.append((own_id, len(own), sha, digest(own_hashes), digest(changed_hashes), *near, share))
+                    waiting = None if guest else (at, doc_id, text, chosen)
                 if out:
                     columns = [pa.array(x, type=kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
                     yield pa.record_batch(columns, names=names)

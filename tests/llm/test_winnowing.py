@@ -73,8 +73,12 @@ def test_edit_likeness_of_odd_documents(spark, make, odd_rows, ranges):
         half = len(text) // 2
         changed = text[: len(text) - half] + following[:half]
         own, new, nxt = (wi.winnow(t)[0] for t in (text, changed, following))
+        inside = set()
+        for h, at in zip(*(x.tolist() for x in wi.winnow(text)), strict=True):
+            if h in new.tolist():
+                inside.update(range(at, min(len(text), at + wi.GRAM)))
         sha = hashlib.sha256(changed.encode()).hexdigest()
-        want.append((doc_id, len(text), sha, wi.digest(own), wi.digest(new), wi.likeness(own, new), wi.likeness(own, nxt)))
+        want.append((doc_id, len(text), sha, wi.digest(own), wi.digest(new), wi.likeness(own, new), wi.likeness(own, nxt), len(inside) / len(text) if text else 0.0))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert wi.edit_likeness(make([])).count() == 0
     assert wi.fingerprints(make(odd_rows)).count() == len(odd_rows)
