@@ -33,7 +33,7 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Bits(shingle=4, distance=4))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
