@@ -21,8 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link at 4 or fewer bits."""
-    return simhash.keep_one(docs, shingle=4, distance=4)
+    """One document of each group of texts whose shingles of five words are alike by about 0.8 or more."""
+    return simhash.keep_one(docs, simhash.Similar(shingle=5, similarity=0.8))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
