@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import short_title
@@ -54,3 +54,16 @@ def points(vectors: DataFrame, k: int = 3) -> DataFrame:
 def labelled(points_: DataFrame, titles: DataFrame) -> DataFrame:
     """Points with titles cut to 80 characters."""
     return points_.join(titles, "id").withColumn("title", short_title(F.col("title")))
+
+
+def write_map(points_: DataFrame, edges: DataFrame, path: str) -> None:
+    """The map as three tables by source: points (id, source, title, x, y, z), their URLs, and edges (src, dst, source)."""
+    points_.drop("url").write.mode("overwrite").partitionBy("source").parquet(f"{path}/points")
+    points_.select("id", "url", "source").write.mode("overwrite").partitionBy("source").parquet(f"{path}/urls")
+    edges.write.mode("overwrite").partitionBy("source").parquet(f"{path}/edges")
+
+
+def read_map(spark: SparkSession, path: str, table: str, sources: list[str] | None = None) -> DataFrame:
+    """One of the map's tables, of some sources; only their folders are read."""
+    whole = spark.read.parquet(f"{path}/{table}")
+    return whole.filter(F.col("source").isin(*sources)) if sources else whole

@@ -5,9 +5,12 @@ No model is shipped. ``Hashing`` is a stand-in that needs none: deterministic ve
 
 from __future__ import annotations
 
+import html
+import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from html.parser import HTMLParser
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONGEST, BATCH = 50_000, 64
+LONGEST_TRANSLATED = 500  # characters of a text that the model reads
+#: What of a page isn't translated (fixed values).
+SKIPPED_TAGS = ("script", "style", "code", "pre", "kbd", "var", "noscript", "cite", "sup", "sub", "nav", "footer", "header")
+SKIPPED_CLASSES = (
+    "reference", "references", "reflist", "refbegin", "mw-editsection", "mw-headline-anchor", "cite-bracket", "toc", "catlinks",
+    "navbox", "sistersitebox", "mbox", "ambox", "metadata", "noprint", "plainlinks", "infobox", "sidebar", "vertical-navbox",
+)
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
 class Embedder(Protocol):
@@ -72,7 +83,7 @@ def translate(texts: DataFrame, cache: DataFrame, make: Callable[[], Callable[[l
     def run(batches):
         model = make()
         for batch in batches:
-            own = batch.column(0).to_pylist()
+            own = [x[:LONGEST_TRANSLATED] for x in batch.column(0).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(model(own), type=pa.string())], names=["source_text", "translated"])
 
     known = cache.select("source_text", "translated").unionByName(fresh.mapInArrow(run, "source_text string, translated string"))
@@ -80,6 +91,89 @@ def translate(texts: DataFrame, cache: DataFrame, make: Callable[[], Callable[[l
     return joined.withColumn("translated", F.coalesce("translated", F.col(column)))
 
 
+class _Nodes(HTMLParser):
+    """A page's markup as it is, with the texts between that may be translated marked."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=False)
+        self.parts: list[tuple[str, bool]] = []  # source; whether it is a text to translate
+        self._open: list[tuple[str, bool]] = []  # tag; whether it or one around it is skipped
+        self._at = 0
+        self._page, self._starts = page, [0, *(m.end() for m in re.finditer("\n", page))]
+        self.feed(page)
+        self.close()
+        self._mark(len(page), not self._skipped() and "<" not in page[self._at :])
+
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self._starts[line - 1] + column
+
+    def _mark(self, upto: int, text: bool) -> None:
+        if upto > self._at:
+            self.parts.append((self._page[self._at : upto], text))
+            self._at = upto
+
+    def handle_starttag(self, tag, attrs):
+        self._mark(self._here(), not self._skipped())
+        names = (dict(attrs).get("class") or "").split()
+        if tag not in VOID:
+            self._open.append((tag, self._skipped() or tag in SKIPPED_TAGS or any(x in SKIPPED_CLASSES for x in names)))
+        self._mark(self._here() + len(self.get_starttag_text()), False)
+
+    def handle_startendtag(self, tag, attrs):
+        self._mark(self._here(), not self._skipped())
+        self._mark(self._here() + len(self.get_starttag_text()), False)
+
+    def handle_endtag(self, tag):
+        self._mark(self._here(), not self._skipped())
+        for k in range(len(self._open) - 1, -1, -1):
+            if self._open[k][0] == tag:
+                del self._open[k:]
+                break
+        self._mark(self._page.find(">", self._here()) + 1, False)
+
+    def handle_comment(self, data):
+        self._mark(self._here(), not self._skipped())
+        self._mark(self._here() + len(data) + 7, False)
+
+    def handle_decl(self, decl):
+        self._mark(self._here() + len(decl) + 3, False)
+
+    def _skipped(self) -> bool:
+        return bool(self._open) and self._open[-1][1]
+
+
+def worth_translating(text: str) -> bool:
+    """``should_translate`` for one text."""
+    clean = text.strip()
+    letters = sum(c.isalpha() for c in clean)
+    return len(clean) > 3 and 2 * letters >= len(clean) and len(clean.split()) >= 2 and not re.match(r"v?\d+([./-]\d+)+$", clean)
+
+
+def translated_page(page: str, model: Callable[[list[str]], list[str]]) -> str:
+    """A page with the texts worth it translated in batches; markup, code, references and navigation stay as they are."""
+    parts = _Nodes(page).parts
+    at = [k for k, (x, text) in enumerate(parts) if text and worth_translating(html.unescape(x))]
+    out = [x for x, _ in parts]
+    for i in range(0, len(at), BATCH):
+        own = [html.unescape(out[k]).strip()[:LONGEST_TRANSLATED] for k in at[i : i + BATCH]]
+        for k, text in zip(at[i : i + BATCH], model(own), strict=True):
+            out[k] = html.escape(text, quote=False)
+    return "".join(out)
+
+
+def translate_pages(pages: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], key: str = "page_id") -> DataFrame:
+    """key and translated html of each page."""
+
+    def run(batches):
+        model = make()
+        for batch in batches:
+            done = [None if x is None else translated_page(x, model) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(done, type=pa.string())], names=[key, "html"])
+
+    return pages.select(key, "html").mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, html string")
+
+
 def should_translate(text: Column) -> Column:
     """Whether a text is worth it: longer than 3, half letters, two words, no date or version."""
     clean = F.trim(text)

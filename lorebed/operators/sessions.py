@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,27 +34,72 @@ def number_segments(videos: DataFrame, prefix: str = "seg") -> DataFrame:
 def group_segments(segments: DataFrame, longest: float = 60.0) -> DataFrame:
     """Chunks of consecutive segments: a new one starts where a segment begins more than ``longest`` seconds after the chunk.
 
-    Each start depends on the chunk before, so this is a fold over a video's segments in order: one array, one expression.
+    Each start depends on the chunk before, so a video's segments pass in order through one function a task, which keeps
+    the chunk's start alone: no video is gathered.
     """
-    row = F.struct("start_sec", "segment_id", "end_sec", "text")
-    ordered = segments.groupBy("video_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    zero = F.struct(
-        F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("chunks")
-    )
-
-    def step(acc, x):
-        fresh = acc["anchor"].isNull() | (x["start_sec"] - acc["anchor"] > longest)
-        n = acc["n"] + fresh.cast("int")
-        return F.struct(F.when(fresh, x["start_sec"]).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.concat(acc["chunks"], F.array(n)).alias("chunks"))
-
-    numbered = ordered.select("video_id", "rows", F.aggregate("rows", zero, step)["chunks"].alias("chunks"))
-    flat = numbered.select("video_id", F.explode(F.arrays_zip("rows", "chunks")).alias("z")).select("video_id", "z.rows.*", F.col("z.chunks").alias("chunk"))
+    kinds = dict(segments.dtypes)
+    names = ["video_id", "start_sec", "segment_id", "end_sec", "text"]
+
+    def run(batches):
+        video, anchor, chunk = None, None, 0
+        for batch in batches:
+            numbers = []
+            for own, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if chunk == 0 or own != video:
+                    video, anchor, chunk = own, start, 1
+                elif start is not None and (anchor is None or start - anchor > longest):
+                    anchor, chunk = start, chunk + 1
+                numbers.append(chunk)
+            yield pa.record_batch([*batch.columns, pa.array(numbers, type=pa.int32())], names=[*names, "chunk"])
+
+    ordered = segments.select(names).repartition("video_id").sortWithinPartitions(*names)
+    flat = ordered.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", chunk int")
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_sec", "segment_id", "text"))), lambda r: r["text"]), " ")
     return flat.groupBy("video_id", "chunk").agg(
         F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), texts.alias("text"), F.count(F.lit(1)).alias("n_segments")
     )
 
 
+def topic_of(answer: Column) -> Column:
+    """(topic, keywords) in a language model's lines "Topic: ..." and "Keywords: a, b"; of several the last, without list marks."""
+    plain = F.replace(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?m)^[ \t*-]+", ""), F.lit("**"), F.lit(""))
+
+    def last(name: str) -> Column:
+        found = F.regexp_extract_all(plain, F.lit(rf"(?im)^\s*{name}\s*:[ \t]*(\S.*?)\s*$"), F.lit(1))
+        return F.try_element_at(found, F.lit(-1))
+
+    words = F.filter(F.transform(F.split(F.coalesce(last("keywords?"), F.lit("")), ","), lambda w: F.trim(w)), lambda w: w != "")
+    return F.struct(last("topic").alias("topic"), words.alias("keywords"))
+
+
+def topics(chunks: DataFrame) -> DataFrame:
+    """Chunks (video_id, chunk, answer) with topic and keywords; one without a topic is called by its number."""
+    told = topic_of(F.col("answer"))
+    return chunks.select("video_id", "chunk", F.coalesce(told["topic"], F.concat(F.lit("Segment "), F.col("chunk"))).alias("topic"), told["keywords"].alias("keywords"))
+
+
+def in_english(segments: DataFrame, translate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Segments (video_id, segment_id, start_sec, end_sec, text, language) in English: those of other languages through ``translate``.
+
+    ``translate`` adds ``translated`` to rows with ``text``. Ids are carried as they are, also as original_segment_id.
+    """
+    is_english = F.coalesce("language", F.lit("en")) == "en"
+    own = segments.filter(is_english).withColumn("translated", F.col("text"))
+    other = segments.filter(~is_english)
+    both = own.unionByName(translate(other).select(*segments.columns, "translated")) if translate else own
+    return both.select(
+        "video_id", "segment_id", F.col("segment_id").alias("original_segment_id"), "start_sec", "end_sec", F.col("translated").alias("text"),
+        F.lit("en").alias("language"), F.coalesce("language", F.lit("en")).alias("original_language"),
+    )
+
+
+def transcripts(segments: DataFrame) -> DataFrame:
+    """One row a video: the texts that aren't blank, in order, a blank line between them."""
+    told = segments.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    parts = F.sort_array(F.collect_list(F.struct("start_sec", "segment_id", "text")))
+    return told.groupBy("video_id").agg(F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n").alias("full_text"), F.count(F.lit(1)).alias("n_segments"))
+
+
 def recent(events: DataFrame, seconds: int = 300) -> DataFrame:
     """How many events of the same user fall into the ``seconds`` up to each; events: user_id, ts."""
     at = F.unix_timestamp("ts")

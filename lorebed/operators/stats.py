@@ -156,6 +156,20 @@ def mean_vector(vectors: DataFrame, key: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
 
 
+def nested_mean(parts: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """The mean by key of means of halves: a part's ``path`` says which half of which half it is ("", "0", "10"), so it weighs 2**-depth."""
+    weight = F.pow(F.lit(0.5), F.length(path))
+    rows = parts.select(key, weight.alias("w"), F.posexplode("embedding").alias("i", "x"))
+    means = rows.groupBy(key, "i").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("m"))
+    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
+
+
+def sample(df: DataFrame, key: str, n: int = 10, seed: int = 42) -> DataFrame:
+    """``n`` rows at random, the same on every run: those least by a seeded hash of the key. A top-n, not a sort of all."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.orderBy(order, key).limit(n)
+
+
 def status_summary(rows: DataFrame, status: str = "status") -> DataFrame:
     """One row: passed, failed, total."""
     return rows.agg(

@@ -97,3 +97,10 @@ def keep_first(df: DataFrame, keys: list[str], pos: Column | str) -> DataFrame:
     """The first row of each key by ``pos``."""
     order = Window.partitionBy(*keys).orderBy(pos)
     return df.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+
+
+def first_matching(entries: DataFrame, text: str, order: str = "entry_id", scanned: int = 10_000, most: int = 50) -> DataFrame:
+    """Of the first ``scanned`` entries (title, url) those whose title or URL holds ``text``, at most ``most``: a look into an archive."""
+    seen = entries.orderBy(order).limit(scanned)
+    low = F.lit(text.lower())
+    return seen.filter(F.contains(F.lower("title"), low) | F.contains(F.lower("url"), low)).orderBy(order).limit(most)

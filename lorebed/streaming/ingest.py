@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -33,12 +33,28 @@ def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def append_new(path: str, key: str = "doc_id") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends rows whose key isn't stored. A batch that is run again finds its rows there."""
+def part_of(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("key_part")
+
+
+def append_new(path: str, key: str = "doc_id", parts: int = 1024) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends rows whose key isn't stored. A batch that is run again finds its rows there.
+
+    The table is partitioned by a hash of the key, so that a batch reads the keys of the folders that its own keys fall in
+    and not the whole table.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        have = stored(batch.sparkSession, path, batch.schema).select(key)
-        batch.dropDuplicates([key]).join(have, key, "left_anti").write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        new = batch.dropDuplicates([key]).withColumn("key_part", part_of(key, parts)).persist()
+        try:
+            touched = [r.key_part for r in new.select("key_part").distinct().collect()]  # at most ``parts`` numbers
+            if not touched:
+                return
+            have = stored(spark, path, new.schema).filter(F.col("key_part").isin(touched)).select(key)
+            new.join(have, key, "left_anti").write.mode("append").partitionBy("key_part").parquet(path)
+        finally:
+            new.unpersist()
 
     return write
 

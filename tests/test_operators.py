@@ -1,6 +1,7 @@
 """Folds, captions, merges, chains, files, streams."""
 
 import json
+from urllib.request import urlopen
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,23 +164,68 @@ def test_files(spark, tmp_path):
     assert [r.id for r in files.job_history(spark, str(tmp_path / "jobs.jsonl"), "2024-01-01").collect()] == ["2", "1"]
 
 
-def test_connectors(spark):
-    answers = {
-        "api?action=query&list=allpages&aplimit=2&format=json": {"query": {"allpages": [{"title": "A"}, {"title": "B"}]}, "continue": {"apcontinue": "C"}},
-        "api?action=query&list=allpages&aplimit=2&format=json&apcontinue=C": {"query": {"allpages": [{"title": "C"}]}},
-        "api?action=query&prop=extracts&explaintext=1&titles=A&format=json": {"query": {"pages": {"1": {"extract": "short"}}}},
-        "api?action=parse&page=A&format=json": {"parse": {"text": {"*": "<p>" + "long " * 40 + "</p>"}}},
-    }
-    get = lambda url: json.dumps(answers[url])
-    assert list(connectors.wiki_titles("api", get, 2)) == ["A", "B", "C"]
-    assert connectors.wiki_page("api", "A", get)[1].startswith("long long")
-    maps = {"i": "<sitemapindex><loc>a</loc></sitemapindex>", "a": "<urlset><loc> u1 </loc><loc>u2</loc></urlset>"}
-    assert list(connectors.sitemap_urls("i", maps.__getitem__)) == ["u1", "u2"]
-    pages = connectors.read_urls(spark, spark.createDataFrame([("u1",)], "url string"), "s", lambda u: "<title>T</title><p>body</p>").collect()
-    assert [tuple(p) for p in pages] == [("u1", "T", "T body", "s")]
+WIKI = "https://w.org/api.php"
+#: What the pretended network answers.
+ANSWERS = {
+    f"{WIKI}?action=query&list=allpages&aplimit=500&format=json": {"query": {"allpages": [{"title": "A&B?"}, {"title": "Bé"}]}, "continue": {"apcontinue": "C D", "continue": "-||"}},
+    f"{WIKI}?action=query&list=allpages&aplimit=500&apcontinue=C%20D&format=json": {"query": {"allpages": [{"title": "C"}, {"title": "Gone"}]}},
+    f"{WIKI}?action=query&list=search&srsearch=a%20%26%20b&srlimit=50&format=json": {"query": {"search": [{"title": "A&B?"}]}},
+    f"{WIKI}?action=query&list=categorymembers&cmtitle=Category%3AX&cmtype=page&cmlimit=500&format=json": {"query": {"categorymembers": [{"title": "C"}]}},
+    f"{WIKI}?action=query&list=allcategories&aclimit=500&format=json": {"query": {"allcategories": [{"*": "X"}]}},
+    f"{WIKI}?action=query&prop=extracts&explaintext=1&titles=A%26B%3F&format=json": {"query": {"pages": {"1": {"extract": "short"}}}},
+    "https://w.org/wiki/A%26B%3F": "<p>" + "plain " * 40 + "</p>",
+    f"{WIKI}?action=query&prop=extracts&explaintext=1&titles=B%C3%A9&format=json": {"query": {"pages": {"1": {"extract": "short"}}}},
+    "https://w.org/wiki/B%C3%A9": "<p>short</p>",
+    f"{WIKI}?action=parse&page=B%C3%A9&format=json": {"parse": {"text": {"*": "<p>" + "long " * 40 + "</p>"}}},
+    f"{WIKI}?action=query&prop=extracts&explaintext=1&titles=C&format=json": {"query": {"pages": {"1": {"extract": "extracted " * 20}}}},
+    "https://m.org/map": "<sitemapindex><loc>https://m.org/1</loc></sitemapindex>",
+    "https://m.org/1": "<urlset><loc> https://m.org/a?x=1&amp;y=2 </loc><loc>https://m.org/gone</loc></urlset>",
+    "https://m.org/a?x=1&y=2": "<title>T &amp; U</title><p>body</p>",
+}
+
+
+def pretended(url):
+    if url not in ANSWERS:
+        raise OSError("not there")
+    return ANSWERS[url] if isinstance(ANSWERS[url], str) else json.dumps(ANSWERS[url])
+
+
+def test_connectors(spark, tmp_path):
+    assert list(connectors.wiki_titles(WIKI, pretended)) == ["A&B?", "Bé", "C", "Gone"]
+    assert list(connectors.wiki_search(WIKI, "a & b", pretended)) == ["A&B?"]
+    assert list(connectors.wiki_category(WIKI, "X", pretended)) == ["C"]
+    assert list(connectors.wiki_categories(WIKI, pretended)) == ["X"]
+    assert connectors.wiki_page(WIKI, "A&B?", pretended)[1].startswith("plain plain")
+    assert connectors.wiki_page(WIKI, "Bé", pretended)[1].startswith("long long")
+    assert list(connectors.sitemap_urls("https://m.org/map", pretended)) == ["https://m.org/a?x=1&y=2", "https://m.org/gone"]
+    asked = spark.createDataFrame([("u1",), ("bad url",), (None,)], "url string")
+    pages = connectors.read_urls(spark, asked, "s", lambda u: "<title>T</title><p>body</p>" if u == "u1" else urlopen(u)).collect()
+    assert sorted((p.url or "", p.title, p.error is None) for p in pages) == [("", None, False), ("bad url", None, False), ("u1", "T", True)]
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a")], "src string, dst string")
-    found = connectors.crawl(spark, ["a"], lambda f: f.join(edges, f.url == edges.src).select(F.col("dst").alias("url")), 2)
-    assert {(r.url, r.depth) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    read = []
+
+    def links(frontier):
+        read.append(sorted(r.url for r in frontier.collect()))
+        return frontier.join(edges, frontier.url == edges.src).select(F.col("dst").alias("url"))
+
+    for _ in range(2):  # a second crawl finds all rounds written
+        found = connectors.crawl(spark, ["a"], links, str(tmp_path / "crawl"), 2)
+        assert {(r.url, r.depth) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert read == [["a"], ["b"]]
+
+
+def test_connectors_as_data_sources(spark):
+    connectors.register(spark)
+    way = f"{__name__}:pretended"
+    spark.sparkContext.addPyFile(__file__)
+    rows = spark.read.format("wiki").option("api", WIKI).option("fetch", way).option("per_task", "1").option("source", "w").load().collect()
+    got = {r.title or r.url: r for r in rows}
+    assert set(got) == {"A&B?", "Bé", "C", "Gone"} and all(r.source == "w" for r in rows)
+    assert got["A&B?"].url == "https://w.org/wiki/A%26B%3F" and got["Gone"].error.startswith("OSError")
+    part = spark.read.format("wiki").option("api", WIKI).option("category", "X").option("fetch", way).load()
+    assert [r.title for r in part.collect()] == ["C"]
+    pages = spark.read.format("sitemap").option("url", "https://m.org/map").option("fetch", way).load().collect()
+    assert sorted((r.url, r.title, r.error is None) for r in pages) == [("https://m.org/a?x=1&y=2", "T & U", True), ("https://m.org/gone", None, False)]
 
 
 def test_streamed_ingest_is_idempotent(spark, tmp_path):
@@ -194,6 +240,18 @@ def test_streamed_ingest_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
 
 
+def test_appending_reads_only_the_parts_of_its_keys(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "doc_id string, n int")
+    stream.append_new(out, parts=8)(rows, 0)
+    stream.append_new(out, parts=8)(rows.limit(7).unionByName(spark.createDataFrame([("new", 1), ("new", 1)], rows.schema)), 1)
+    stream.append_new(out, parts=8)(rows.limit(0), 2)
+    stored = spark.read.parquet(out)
+    assert stored.count() == 41 and stored.select("doc_id").distinct().count() == 41
+    kept = stored.withColumn("p", stream.part_of("doc_id", 8))
+    assert kept.filter("p <> key_part").count() == 0
+
+
 def test_phases_resume(spark, tmp_path):
     ran = []
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from lorebed import maintenance_queries  # noqa: F401 (registers its queries)
 from lorebed.queries import QUERIES, SQL
 
 
