@@ -935,7 +935,12 @@ def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_text(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT conv_id AS v, CAST(turn * 25 AS DOUBLE) AS st, 'seg_' || turn AS id, CAST(turn * 25 + 20 AS DOUBLE) AS e, text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn * 25, 'seg_' || turn) AS rn FROM conversations),
+g AS (SELECT v, rn, st AS anchor, 1 AS chunk FROM s WHERE rn = 1 UNION ALL
+  SELECT s.v, s.rn, CASE WHEN s.st - g.anchor > 60 THEN s.st ELSE g.anchor END, g.chunk + CASE WHEN s.st - g.anchor > 60 THEN 1 ELSE 0 END FROM g JOIN s ON s.v = g.v AND s.rn = g.rn + 1)
+SELECT s.v AS video_id, CAST(g.chunk AS INT) AS chunk, min(st) AS start_sec, max(e) AS end_sec, coalesce(string_agg(text, ' ' ORDER BY st, id), '') AS text, count(*) AS n_segments
+FROM s JOIN g ON g.v = s.v AND g.rn = s.rn GROUP BY 1, 2""")
 def segment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.group_segments(_segments(spark, sf_dir))
 
