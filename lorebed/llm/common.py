@@ -64,11 +64,22 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def drop_written() -> None:
-    """Remove every intermediate table that this process wrote."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
+def written() -> int:
+    """How many intermediate tables there are; a mark for ``drop_written``."""
+    return len(_written)
+
+
+def drop_written(since: int = 0, last: int = 0) -> None:
+    """Remove the intermediate tables that this process wrote from the mark ``since`` on, but for the ``last`` ones.
+
+    A session that has been stopped can't remove its tables; they then stay for whoever clears the folder.
+    """
+    end = len(_written) - last
+    gone, _written[since:end] = _written[since:end], []
+    for spark, path in gone:
+        if spark.sparkContext._jsc is None:
+            continue
+        with contextlib.suppress(Exception):  # what can't be removed is no failure of the job
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 

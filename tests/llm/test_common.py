@@ -18,6 +18,22 @@ def test_small_sides_are_counted_before_they_are_broadcast(spark, capsys):
     assert "strategy=broadcast" not in capsys.readouterr().out
 
 
+def test_tables_are_removed_from_a_mark_on(spark):
+    import os
+
+    def there(df):
+        return os.path.exists(df.inputFiles()[0].replace("file://", ""))
+
+    first = common.durable(spark.range(3), "first")
+    mark = common.written()
+    second, third = common.durable(spark.range(3), "second"), common.durable(spark.range(3), "third")
+    paths = [df.inputFiles()[0].replace("file://", "") for df in (first, second, third)]
+    common.drop_written(mark, last=1)
+    assert [os.path.exists(p) for p in paths] == [True, False, True] and third.count() == 3
+    common.drop_written(mark)
+    assert [os.path.exists(p) for p in paths] == [True, False, False] and there(first)
+
+
 def test_a_session_s_own_batch_size_stays(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)

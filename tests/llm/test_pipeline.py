@@ -77,3 +77,30 @@ def test_all_that_is_left_is_packed(stages):
 
 def test_run_gives_the_last_stage(spark, small, stages):
     assert corpus_pipeline.run(spark, small).count() == stages[-1].count()
+
+
+def written_tables(spark, make, tmp_path, rows, labels):
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_odd_rows_and_clashing_columns_pass_through_all_stages(spark, make, odd_rows, tmp_path):
+    good = " ".join(f"plain{i} words of a text" for i in range(40))
+    rows = odd_rows + [(100 + i, f"{good} {i}" if i % 2 else "$$$ !!! ###", "ab"[i % 3 % 2]) for i in range(60)]
+    labels = [(100 + i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (1, 1, 0), (2, None, 0)]
+    sf_dir = written_tables(spark, make, tmp_path, rows, labels)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == make([]).columns, name
+        assert {r.text for r in docs.collect()} <= {t for _, t, _ in rows}
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    assert pieces and {p.doc_id for p in pieces} <= {i for i, _, _ in rows}
+    assert sum(p.doc_id is not None and p.doc_id >= 100 for p in pieces)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None)]])
+def test_empty_tables_pass_through(spark, make, tmp_path, rows):
+    sf_dir = written_tables(spark, make, tmp_path, rows, [])
+    assert corpus_pipeline.run(spark, sf_dir).count() == 0
