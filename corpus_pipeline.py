@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorebed.llm import mixing, packing, quality, simhash
-from lorebed.llm.common import durable, table
+from lorebed.llm.common import drop_written, durable, table, written
 from lorebed.llm.tokens import default_vocabulary
 
 
@@ -46,10 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what the one before it kept, written and read again in between."""
+    """All stages, each on what the one before it kept, written and read again in between.
+
+    Once a stage's result is written, the tables that led to it are removed.
+    """
     docs = table(spark, sf_dir, "documents")
+    mark = written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = durable(docs, name)
+            drop_written(mark, last=1)
     return docs
