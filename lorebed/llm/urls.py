@@ -2,7 +2,7 @@
 
 Each glob takes one bit a state in a row of 64-bit words: bit j of a glob is on when its first j symbols have matched. Reading
 a character is Shift-And: states move up one bit where that character fits, and states before a ``*`` also stay. The bits of all
-globs move together, and a batch of URLs moves together.
+globs move together, and a batch of URLs moves together; where few of them are that long, each moves by itself.
 
 Canonical URL: a dot, the host (A-Z lower-cased), a separator, the path. ``*.net/x*`` style rules therefore fit a host and
 its subdomains, and nothing in a path can pass for a host.
@@ -25,6 +25,7 @@ from .common import bound_batches
 
 SEPARATOR = "\ue000"  # between host and path; in a URL itself it reads as another character
 OTHER = "\ue001"
+FEW = 12  # texts that are worth a vector step together
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,6 +92,8 @@ class GlobAutomaton:
             for row in range(len(letters) + 1) if fits is None else [letters.index(x) for x in fits]:
                 self.moves[row, to >> 6] |= np.uint64(1 << (to & 63))
         self.start, self.stay = self._mask(starts), self._mask(stays)
+        self.whole_moves = [int.from_bytes(x.tobytes(), "little") for x in self.moves]
+        self.whole_stay = int.from_bytes(self.stay.tobytes(), "little")
         self.ends = np.array(ends, dtype=np.int64)
 
     def _mask(self, bits: list[int]) -> np.ndarray:
@@ -110,11 +113,17 @@ class GlobAutomaton:
         begin = (np.cumsum(lengths) - lengths)[order]
         state = np.tile(self.start, (len(texts), 1))
         active = np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), side="right")
-        for step, n in enumerate(active):  # the n longest have a character here
+        together = int(np.searchsorted(-active, -FEW, side="right"))  # steps that many texts take at once
+        for step, n in enumerate(active[:together]):  # the n longest have a character here
             now = state[:n]
             moved = now << np.uint64(1)
             moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
             state[:n] = moved & self.moves[kinds[begin[:n] + step]] | now & self.stay
+        for i in range(active[together] if together < len(active) else 0):  # the rest of the long ones, each by itself in whole integers
+            bits = int.from_bytes(state[i].tobytes(), "little")
+            for kind in kinds[begin[i] + together : begin[i] + lengths[order[i]]].tolist():
+                bits = bits << 1 & self.whole_moves[kind] | bits & self.whole_stay
+            state[i] = np.frombuffer(bits.to_bytes(8 * self.words, "little"), dtype=np.uint64)
         out = np.empty((len(texts), len(self.ends)), dtype=bool)
         out[order] = (state[:, self.ends >> 6] >> (self.ends & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return out

@@ -1,6 +1,7 @@
 import random
-from fnmatch import translate
 import re
+import time
+from fnmatch import translate
 
 import pytest
 
@@ -40,6 +41,19 @@ def test_rules_match_a_plain_version():
         assert not want or v == want.verdict
 
 
+def test_few_long_texts_move_by_themselves():
+    rnd = random.Random(11)
+    globs = ["*ab*ba*", "a*b", "?b*", "*" + "ab" * 40 + "*", "*aaaaaaaa"]
+    automaton = GlobAutomaton([(g, True) for g in globs])
+    texts = ["".join(rnd.choice("ab") for _ in range(n)) for n in (0, 3, 500, 900, 40, 900, 1, 77, *[5] * 20, 3000)]
+    texts += ["ab" * 200 + "a" * 8, "ab" * 39 + "b"]
+    alone = [automaton.match([t])[0].tolist() for t in texts]
+    assert automaton.match(texts).tolist() == alone == [[bool(re.match(translate(g), t)) for g in globs] for t in texts]
+    began = time.process_time()
+    assert UrlFilter().judge(["a.net"], ["/" + "y" * 1_000_000 + "/ads/x"])[1] == ["block"]
+    assert time.process_time() - began < 10
+
+
 def test_globs_decide_the_rest():
     rule, verdict = UrlFilter((Rule("allow", "net", "/ok/"),)).judge(["cheap-pills.net", "cheap-pills.net", "a.net"], ["/ok/", "/x", "/x"])
     assert rule == ["net/ok/", None, None] and verdict == ["allow", "block", "allow"]
