@@ -299,22 +299,24 @@ def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_store(spark, sf_dir).select("id", F.round(distance, 6).alias("distance"), F.round(vectors.closeness(distance), 6).alias("closeness"))
 
 
-class _Upper:
+class _Marked:
     """A stand-in for a translator."""
 
     def __call__(self, texts: list[str]) -> list[str]:
-        return [t.upper() for t in texts]
+        return [f"[{t}]" for t in texts]
 
 
 @query()
 def translated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.translate_pages(table(spark, sf_dir, "pages").filter("html is not null"), _Upper)
+    return models.translate_pages(table(spark, sf_dir, "pages").filter("html is not null"), _Marked)
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents), w AS (SELECT *, coalesce(length(trim(l)) > 3 AND len(regexp_extract_all(trim(l), '\p{L}')) * 2 >= length(trim(l))
+  AND regexp_matches(trim(l), '\S\s+\S') AND NOT regexp_matches(trim(l), '^v?\d+([./-]\d+)+$'), false) AS worth FROM t)
+SELECT doc_id, l AS text, CASE WHEN worth THEN '[' || l[:500] || ']' ELSE l END AS translated FROM w""")
 def translated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "source_text string, translated string")
-    return models.translate(corpus(spark, sf_dir).select("doc_id", F.col("title").alias("text")), none, _Upper)
+    return models.translate(corpus(spark, sf_dir).select("doc_id", F.col("title").alias("text")), none, _Marked)
 
 
 @query()
@@ -322,3 +324,45 @@ def halved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import chunks
 
     return chunks.halves(_docs(spark, sf_dir), longest=2_000)
+
+
+# --- submissions, localisations, limits, second vectors ----------------------------------------------------------
+
+
+@query("""SELECT doc_id AS submission_id, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'approved' ELSE 'pending' END AS status,
+ CASE doc_id % 4 WHEN 0 THEN 'good' WHEN 1 THEN 'spam' WHEN 2 THEN 'second look' ELSE '' END AS reason FROM documents""")
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _docs(spark, sf_dir).select(F.col("doc_id").alias("submission_id"))
+    k = F.col("submission_id") % 4
+    first = own.filter(k < 3).select("submission_id", F.when(k == 0, "approve").otherwise("reject").alias("verdict"), F.when(k == 0, "good").otherwise("spam").alias("reason"), F.lit(1).alias("decided_at"))
+    again = own.filter(k == 2).select("submission_id", F.lit("approve").alias("verdict"), F.lit("second look").alias("reason"), F.lit(2).alias("decided_at"))
+    return maintenance.decided(own, first.unionByName(again)).withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
+@query("""SELECT source AS parent_source, count(*) AS n, array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages FROM documents
+WHERE source IS NOT NULL AND lang IS NOT NULL AND doc_id % 2 = 0 GROUP BY 1""")
+def localisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _docs(spark, sf_dir).filter("lang is not null")
+    made = made.select(F.col("lang").alias("language"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("parent_source"))
+    return maintenance.localisations(made).withColumn("languages", F.array_join("languages", ","))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts) RANGE BETWEEN 60000 PRECEDING AND 1 PRECEDING) < CASE WHEN event_type = 'error' THEN 1 ELSE 2 END AS ok FROM events""")
+def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("client"), F.col("event_type").alias("kind"), "ts")
+    return sessions.allowed(asked, {"error": 1}, 2).select("event_id", "ok")
+
+
+@query("""SELECT count(*) FILTER (length(coalesce(text, '')) >= 400 AND doc_id % 5 > 0) AS sound, count(*) FILTER (doc_id % 5 = 0) AS failed,
+ count(*) FILTER (length(coalesce(text, '')) < 400 AND doc_id % 5 > 0) AS short FROM documents""")
+def backup_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.backup_status(_docs(spark, sf_dir).select(F.col("text").alias("content"), F.when(F.col("doc_id") % 5 == 0, "gone").alias("error")), 400)
+
+
+@query("""SELECT count(*) AS vectors, count(*) FILTER (len(embedding) = 64) AS whole FROM embeddings""")
+def second_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's vectors of 64 numbers; what lacks one is embedded by a stand-in of as many."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = own.select("doc_id", F.concat(F.lit("text "), F.col("doc_id").cast("string")).alias("text"))
+    made = models.embed_missing(docs, own.filter("doc_id % 3 > 0"), models.on_devices(lambda device: models.Hashing(), 2), 64)
+    return made.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.size("embedding") == 64).alias("whole"))

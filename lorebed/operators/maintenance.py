@@ -107,3 +107,26 @@ def cache_stats(cache: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"),
         F.sort_array(F.collect_set("language")).alias("languages"),
     )
+
+
+def decided(submissions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Submissions (submission_id, ...) with status and reason by their latest decision (submission_id, verdict, reason, decided_at)."""
+    last = decisions.groupBy("submission_id").agg(F.max_by(F.struct("verdict", "reason"), F.struct("decided_at", "verdict")).alias("last"))
+    status = F.when(F.col("last.verdict") == "approve", "approved").when(F.col("last.verdict") == "reject", "rejected").otherwise("pending")
+    joined = submissions.join(last, "submission_id", "left")
+    return joined.select(*submissions.columns, status.alias("status"), F.col("last.reason").alias("reason"))
+
+
+def localisations(sources: DataFrame, parent: str | None = None) -> DataFrame:
+    """Localised sources (parent_source isn't null) by parent: how many, and their languages."""
+    own = sources.filter(F.col("parent_source").isNotNull() if parent is None else F.col("parent_source") == parent)
+    return own.groupBy("parent_source").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("language")).alias("languages"))
+
+
+def backup_status(pages: DataFrame, least: int = 100) -> DataFrame:
+    """One row: pages (content, error) that are sound, failed, and too short to be whole."""
+    size = F.length(F.coalesce("content", F.lit("")))
+    failed = F.col("error").isNotNull()
+    return pages.agg(
+        F.count_if(~failed & (size >= least)).alias("sound"), F.count_if(failed).alias("failed"), F.count_if(~failed & (size < least)).alias("short")
+    )

@@ -15,6 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,22 @@ def embed(docs: DataFrame, make: Callable[[], Embedder], key: str = "doc_id", te
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, embedding array<float>")
 
 
+def on_devices(make: Callable[[int], Embedder], devices: int) -> Callable[[], Embedder]:
+    """A model for each task on one of several devices, dealt by the task's number."""
+
+    def made() -> Embedder:
+        return make(TaskContext.get().partitionId() % devices)
+
+    return made
+
+
+def embed_missing(docs: DataFrame, vectors: DataFrame, make: Callable[[], Embedder], dimension: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Vectors (key, embedding) of one dimension for all documents: those that are there and sound, and the others embedded anew."""
+    sound = vectors.filter((F.size("embedding") == dimension) & F.exists("embedding", lambda x: x != 0)).select(key, "embedding")
+    left = docs.join(sound.select(key), key, "left_anti")
+    return sound.join(docs.select(key), key, "left_semi").unionByName(embed(left, make, key, text))
+
+
 def translate(texts: DataFrame, cache: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], column: str = "text") -> DataFrame:
     """Add ``translated``: from the cache (source_text, translated) where it has a text, else by the model, each text once."""
     wanted = texts.select(F.col(column).alias("source_text")).distinct()

@@ -107,6 +107,14 @@ def recent(events: DataFrame, seconds: int = 300) -> DataFrame:
     return events.withColumn("recent", F.count(F.lit(1)).over(window))
 
 
+def allowed(requests: DataFrame, a_minute: dict[str, int], otherwise: int = 30) -> DataFrame:
+    """Requests (client, kind, ts) with ``ok``: whether the client had fewer of the kind than allowed in the minute before."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    before = Window.partitionBy("client", "kind").orderBy(at).rangeBetween(-60_000, -1)
+    limits = F.create_map(*[F.lit(x) for pair in a_minute.items() for x in pair]) if a_minute else F.create_map().cast("map<string,int>")
+    return requests.withColumn("ok", F.count(F.lit(1)).over(before) < F.coalesce(limits[F.col("kind")], F.lit(otherwise)))
+
+
 def history(jobs: DataFrame, cutoff: str, limit: int = 100) -> DataFrame:
     """Jobs completed since ``cutoff``, newest first."""
     return jobs.filter(F.col("completed_at") >= F.lit(cutoff).cast("timestamp")).orderBy(F.desc("completed_at"), "id").limit(limit)

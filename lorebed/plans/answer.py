@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,24 @@ def answer_by_vector(docs: DataFrame, vectors: DataFrame, asked: list[float], qu
     near = found.select(F.col("id").alias("doc_id"), "score", "pos")
     hits = docs.join(F.broadcast(near), "doc_id")  # CANDIDATES rows
     return search.prepare(_typed(hits), None, question, search.intent_text(question))
+
+
+def respond(question: str, hits: DataFrame, models: list[Callable[[str, str], Iterator[str]]]) -> Iterator[str]:
+    """An answer in parts: of the first model that gives any for the question and the articles, else the list of titles.
+
+    A model that fails before its first part is passed over; one that fails later has had its say.
+    """
+    context = search.context_block(hits).first()[0] or ""  # a few articles
+    for model in models:
+        given = False
+        try:
+            for part in model(question, context):
+                if part:
+                    given = True
+                    yield part
+        except Exception:
+            if given:
+                return
+        if given:
+            return
+    yield search.simple_response(hits).first()[0] or ""

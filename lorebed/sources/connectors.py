@@ -265,3 +265,34 @@ def newsletter(spark: SparkSession, path: str) -> DataFrame:
     """A newsletter's export of posts, published ones."""
     posts = spark.read.csv(path, header=True, multiLine=True, escape='"')
     return posts.filter(F.lower(F.coalesce("is_published", F.lit("true"))) == "true")
+
+
+def backup(spark: SparkSession, urls: DataFrame, path: str, source: str, get: Fetch = fetch, least: int = 100) -> DataFrame:
+    """Fetch what the backup at ``path`` lacks: URLs not there yet, and those that failed or came too short. Returns the whole backup.
+
+    Each call is a numbered part of the table, so a stopped one is fetched again and a whole one never; of several
+    copies of a page the latest sound one counts.
+    """
+    from .store import Store
+
+    store = Store(spark, path)
+    kind = PAGE + ", part int"
+    parts = sorted({int(n.split("/")[0][5:]) for n, _ in store.list("part=") if n.endswith("/_SUCCESS")})
+
+    def pages() -> DataFrame:
+        if not parts:
+            return spark.createDataFrame([], kind + ", sound boolean")
+        read = [spark.read.schema(PAGE).parquet(f"{path}/part={k}").withColumn("part", F.lit(k)) for k in parts]
+        whole = read[0]
+        for df in read[1:]:
+            whole = whole.unionByName(df)
+        whole = whole.withColumn("sound", F.col("error").isNull() & (F.length("content") >= least))
+        best = F.max_by(F.struct("title", "content", "source", "error", "part", "sound"), F.struct("sound", "part")).alias("b")
+        return whole.groupBy("url").agg(best).select("url", "b.*")
+
+    left = urls.select("url").filter("url is not null").distinct().join(pages().filter("sound").select("url"), "url", "left_anti")
+    if not left.isEmpty():
+        k = parts[-1] + 1 if parts else 0
+        read_urls(spark, left, source, get).write.mode("overwrite").parquet(f"{path}/part={k}")
+        parts.append(k)
+    return pages()

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebed.operators import document_types, graph, maintenance, models, sessions
-from lorebed.plans import config
+from lorebed.plans import answer, config, packs
+from lorebed.session import Kept
+from lorebed.sources import connectors, store
 
 
 def test_live_catalog_falls_back(spark):
@@ -103,3 +105,92 @@ def test_config():
     assert base == {"a": {"b": 1, "c": 2}, "d": 3}
     assert config.get(base, "a.c") == 2 and config.get(base, "a.x.y", "none") == "none"
     assert config.put(base, "a.x.y", 5) == {"a": {"b": 1, "c": 2, "x": {"y": 5}}, "d": 3}
+
+
+def test_files_of_a_store(spark, tmp_path):
+    files = store.Store(spark, str(tmp_path / "s"))
+    assert list(files.list()) == [] and files.size("a") is None
+    files.write("a/b.txt", b"0123456789")
+    files.write("c.bin", bytes(range(256)))
+    assert sorted(files.list()) == [("a/b.txt", 10), ("c.bin", 256)] and [n for n, _ in files.list("a/")] == ["a/b.txt"]
+    assert files.read("a/b.txt", 3, 4) == b"456" and files.read("c.bin") == bytes(range(256)) and files.size("c.bin") == 256
+    assert files.copy("a", "d") and files.move("c.bin", "x/y.bin") and files.delete("a")
+    assert sorted(n for n, _ in files.list()) == ["d/b.txt", "x/y.bin"]
+
+
+def test_zim_headers():
+    data = store.ZIM_HEADER.pack(store.ZIM_MAGIC, 6, 1, bytes(16), 1234, 5, 80, 90, 100, 110, 7, 0xFFFFFFFF, 999) + b"more"
+    found = store.zim_header(data)
+    assert (found["major"], found["entries"], found["main_page"], found["checksum_at"]) == (6, 1234, 7, 999)
+    assert store.zim_header(b"PK" + data[2:]) is None and store.zim_header(data[:79]) is None
+
+
+def test_packs(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one", "s"), (2, "two", "s")], "doc_id long, text string, source string")
+    vecs = spark.createDataFrame([(1, [1.0]), (9, [2.0])], "doc_id long, embedding array<double>")
+    pack, into = str(tmp_path / "packs" / "s"), str(tmp_path / "store")
+    assert packs.create(spark, pack, "s", docs, vecs, name="S") == {"name": "S", "source_id": "s", "documents": 2, "vectors": 1}
+    assert packs.install_all(spark, str(tmp_path / "packs"), ["s"], into) == {"s": 2}
+    more = spark.createDataFrame([(2, "new", "s"), (3, "three", "s")], docs.schema)
+    packs.create(spark, pack, "s", more, vecs)
+    packs.install(spark, pack, into)
+    assert {(r.doc_id, r.text) for r in spark.read.parquet(into).collect()} == {(1, "one"), (2, "new"), (3, "three")}
+    packs.install(spark, pack, into, "replace")
+    assert {r.doc_id for r in spark.read.parquet(into).collect()} == {2, 3}
+    with pytest.raises(ValueError):
+        packs.install(spark, str(tmp_path / "none"), into)
+
+
+def test_backups_are_resumed_and_repaired(spark, tmp_path):
+    path, log = str(tmp_path / "b"), tmp_path / "log"
+    log.mkdir()
+    urls = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), (None,)], "url string")
+
+    def get(url, broken):
+        (log / f"{url}-{len(list(log.iterdir()))}").write_text("")
+        if url in broken:
+            raise OSError("gone")
+        return f"<title>{url}</title><p>" + "words " * (40 if url != "c" or not broken else 1) + "</p>"
+
+    first = connectors.backup(spark, urls, path, "s", lambda u: get(u, {"b"}))
+    assert {r.url: r.sound for r in first.collect()} == {"a": True, "b": False, "c": False}
+    assert tuple(maintenance.backup_status(first).first()) == (1, 1, 1)
+    second = connectors.backup(spark, urls, path, "s", lambda u: get(u, set()))
+    assert {r.url: (r.sound, r.part) for r in second.collect()} == {"a": (True, 0), "b": (True, 1), "c": (True, 1)}
+    n = len(list(log.iterdir()))
+    assert connectors.backup(spark, urls, path, "s", lambda u: get(u, set())).count() == 3 and len(list(log.iterdir())) == n == 5
+
+
+def test_answers_fall_back(spark):
+    hits = spark.createDataFrame([(1, "T", "article", "s", 0.5, "text", 1)], "doc_id long, title string, doc_type string, source string, score double, content string, pos int")
+
+    def fails(question, context):
+        raise OSError("offline")
+
+    def stops(question, context):
+        yield "so far"
+        raise OSError("cut")
+
+    assert list(answer.respond("q", hits, [fails, lambda q, c: iter([""]), lambda q, c: iter([q, " ", c[:10]])])) == ["q", " ", "Article #1"]
+    assert list(answer.respond("q", hits, [stops, fails])) == ["so far"]
+    assert list(answer.respond("q", hits, [fails])) == ["- T"]
+
+
+def test_kept_values():
+    now, made = [0.0], []
+
+    def make():
+        if now[0] == 20:
+            raise OSError("gone")
+        made.append(now[0])
+        return len(made)
+
+    kept = Kept(make, 10, lambda: now[0])
+    assert (kept.get(), kept.get()) == (1, 1)
+    now[0] = 10
+    assert kept.get() == 2
+    now[0] = 20
+    assert kept.get() == 2  # the old one, as it can't be made
+    now[0] = 25
+    kept.forget()
+    assert kept.get() == 3
