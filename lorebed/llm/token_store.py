@@ -73,10 +73,6 @@ class EliasFano:
         window = int.from_bytes(self.data[self._low + (first >> 3) : self._low + ((first + self.low_bits + 7) >> 3)], "little")
         return (place - i) << self.low_bits | window >> (first & 7) & ((1 << self.low_bits) - 1)
 
-    def span(self, i: int) -> tuple[int, int]:
-        """Where the i-th of consecutive items that end at the values starts and ends."""
-        return (self.select(i - 1) if i else 0), self.select(i)
-
     def values(self) -> np.ndarray:
         """All values at once."""
         raw = np.frombuffer(self.data, dtype=np.uint8)
@@ -135,7 +131,8 @@ def read_tokens(spark, path: str) -> DataFrame:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 bounds, ids, width = EliasFano(row["bounds"]), row["ids"], row["width"]
-                spans = [bounds.span(i) for i in range(bounds.n)]
+                ends = [bounds.select(i) for i in range(bounds.n)]
+                spans = list(zip([0, *ends], ends, strict=False))
                 wide = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4")
                 crc, own = [zlib.crc32(wide[a:b]) for a, b in spans], [ids[a * width : b * width] for a, b in spans]
                 starts, sizes = [row["before"] + a for a, _ in spans], [b - a for a, b in spans]

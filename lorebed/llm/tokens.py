@@ -51,8 +51,8 @@ class UnitEncoder:
         for word, at in words.items():
             self.n_bytes[at] = len(word)
         self.memory, self.longest = memory, longest
-        #: Ids by unit without its leading blank; units that start with a line feed have none. None: cut by the general rule.
-        self.after_blank: dict[str, bytes | None] = {}
+        #: Ids by unit without its leading blank; units that start with a line feed have none. False: cut by the general rule.
+        self.after_blank: dict[str, bytes | bool] = {}
         self.as_is: dict[str, bytes] = {}
         #: Ids of the marks that follow a word's letters.
         self.marks: dict[str, bytes] = {}
@@ -63,17 +63,24 @@ class UnitEncoder:
 
     def _learn(self, units: set[str]) -> list[str]:
         """Encode units that are new; those too long to be kept are returned."""
-        known, marked = self.after_blank, []
-        whole = {x for x in units if x.isalnum()}
-        for unit in units - whole:
-            core = unit.rstrip(string.punctuation)
-            if core != unit and core.isalpha() and len(unit) <= self.longest:
-                marked.append((unit, core, unit[len(core) :]))
-                if core not in known:
-                    whole.add(core)
+        known, marked, letters, others = self.after_blank, [], [], []
+        for unit in units:
+            if unit.isalpha():
+                (letters if unit.isascii() else others).append(unit)
             else:
-                whole.add(unit)
-        self._learn_whole(list(whole))
+                core = unit.rstrip(string.punctuation)
+                if core != unit and core.isalpha() and len(unit) <= self.longest:
+                    marked.append((unit, core, unit[len(core) :]))
+                else:
+                    others.append(unit)
+        cores = {core for _, core, _ in marked}.difference(known, letters, others)
+        letters += [x for x in cores if x.isascii()]
+        others += [x for x in cores if not x.isascii()]
+        if self.letters:
+            self._learn_parts(self.letters, letters, "\u0120", " \u0120")
+        else:
+            others += letters
+        self._learn_others(others)
         if len(self.marks) > self.memory:
             self.marks.clear()
         for unit, core, marks in marked:
@@ -86,37 +93,32 @@ class UnitEncoder:
             known[unit] = known[core] + ids
         return [x for x in units if len(x) > self.longest]
 
-    def _learn_whole(self, units: list[str]) -> None:
-        """Encode units, many at once."""
-        known = self.after_blank
-        bare = [x[1:] if x[:1] == "\n" else x for x in units]
-        if " ".join(bare).split() != bare:  # some are empty or hold other white space
-            odd = {unit for unit, x in zip(units, bare, strict=True) if x.split() != [x]}
-            for unit in odd:
-                # "" and a line feed are the end of a text
-                known[unit] = self._ids([unit or " "])[0] if unit in ("", "\n") else None
-            units = [x for x in units if x not in odd]
-        plain = [x for x in units if x.isascii() and x.isalpha()] if self.letters else []
-        if plain:
-            units = [x for x in units if not (x.isascii() and x.isalpha())]
-            self._learn_parts(self.letters, plain, ["\u0120" + x for x in plain], " ")
-        self._learn_parts(self.tokenizer, units, [x if x[0] == "\n" else " " + x for x in units], "")
-
-    def _learn_parts(self, tokenizer, units: list[str], parts: list[str], between: str, at_once: int = 2048, a_text: int = 32) -> None:
-        """The ids of ``parts``, joined to short texts; where each ends is told by its bytes."""
-        width = self.dtype.itemsize
+    def _learn_others(self, units: list[str]) -> None:
+        known, plain, lines = self.after_blank, [], []
+        for unit in units:
+            line = unit[:1] == "\n"
+            if unit.split() == [unit[line:]]:
+                (lines if line else plain).append(unit)
+            else:  # "" and a line feed are the end of a text; other white space is for the general rule
+                known[unit] = self._ids([unit or " "])[0] if unit in ("", "\n") else False
+        self._learn_parts(self.tokenizer, plain, " ", " ")
+        self._learn_parts(self.tokenizer, lines, "", "")
+
+    def _learn_parts(self, tokenizer, units: list[str], first: str, between: str, at_once: int = 2048, a_text: int = 32) -> None:
+        """The ids of units, joined to short texts; where each ends is told by its bytes (``first`` is one, if any, in byte-level text)."""
+        width, one = self.dtype.itemsize, len(first)
         for start in range(0, len(units), at_once):
-            part = parts[start : start + at_once]
-            texts = [between.join(part[i : i + a_text]) for i in range(0, len(part), a_text)]
+            part = units[start : start + at_once]
+            texts = [first + between.join(part[i : i + a_text]) for i in range(0, len(part), a_text)]
             found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids = np.array(list(chain.from_iterable(x.ids for x in found)), dtype=np.int64)
-            ends = np.cumsum(list(map(len, part)) if between or all(map(str.isascii, texts)) else [len(x.encode()) for x in part])
+            ids = np.fromiter(chain.from_iterable([x.ids for x in found]), dtype=np.int64)
+            sizes = map(len, part if tokenizer is self.letters or all(map(str.isascii, texts)) else [x.encode() for x in part])
+            ends = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(part)) + one)
             last = np.searchsorted(done := np.cumsum(self.n_bytes[ids]), ends)
             if not np.array_equal(done[last], ends):
                 raise ValueError("the vocabulary is not a byte-level one that cuts words at white space")
             raw, cuts = ids.astype(self.dtype).tobytes(), ((last + 1) * width).tolist()
-            values = (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
-            self.after_blank.update(zip(units[start : start + at_once], values, strict=True))
+            self.after_blank.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
 
     def _general(self, text: str) -> bytes:
         units = _UNITS.findall(text)
@@ -136,8 +138,13 @@ class UnitEncoder:
         # Where no two blanks or line feeds meet, a unit starts at each; one that starts a line keeps the line feed.
         cut = [None if any(x in text for x in _RUNS) else text.replace("\n", " \n").split(" ") for text in texts]
         heads = [parts.pop(0) if parts else None for parts in cut]
-        long = self._learn(set(chain.from_iterable(x for x in cut if x)).difference(self.after_blank))
-        get, last, out = self.after_blank.__getitem__, b"" if end is None else np.array([end], dtype=self.dtype).tobytes(), []
+        # The batch's own words: most are many times in it, and a small dictionary stays near.
+        words = set(chain.from_iterable(x for x in cut if x))
+        own = dict(zip(words, map(self.after_blank.get, words), strict=True))
+        new = {x for x, ids in own.items() if ids is None}
+        long = self._learn(new)
+        own.update(zip(new, map(self.after_blank.__getitem__, new), strict=True))
+        get, last, out = own.__getitem__, b"" if end is None else np.array([end], dtype=self.dtype).tobytes(), []
         for text, head, parts in zip(texts, heads, cut, strict=True):
             try:
                 ids = self._general(text) if parts is None else self._general(head) + b"".join(map(get, parts))
