@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents that one Arrow batch holds at most, so that a batch of very long texts stays small.
@@ -59,6 +59,17 @@ def durable(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drawn(df: DataFrame, by: Column, size: int) -> DataFrame:
+    """About ``size`` rows, or all if there aren't that many: those whose hash ``by`` (a long) is small enough."""
+    n = df.count()
+    return df.filter(F.shiftrightunsigned(by, 1) < F.lit(int(size / n * (2**63 - 1)))) if n > size else df
+
+
+def sampled(df: DataFrame, by: Column, size: int) -> DataFrame:
+    """The ``size`` rows that are least by a hash that tells rows apart. Only some more than that are ordered, however many tasks there are."""
+    return drawn(df, by, 4 * size).orderBy(F.shiftrightunsigned(by, 1), by).limit(size)
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it was counted to have at most ``most`` (narrow) rows; else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

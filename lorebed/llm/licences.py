@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, drawn
 from .licence_texts import CALIBRATING, DUAL, FORMS, NAMES, OTHER, PASSAGES, TALK
 from .tokens import slices
 
@@ -245,7 +245,7 @@ def model() -> Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> Model:
-    """A model whose negatives are also of ``docs``: ``each`` windows, evenly over the whole text, of the ``sample`` texts least by a hash."""
+    """A model whose negatives are also of ``docs``: ``each`` windows, evenly over the whole text, of ``sample`` different texts drawn by a hash."""
 
     def cut(batches):
         for batch in batches:
@@ -255,7 +255,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> Model:
                 texts += [" ".join(tokens[i : i + WINDOW]) for i in range(0, len(tokens), max(WINDOW, -(-len(tokens) // each)))]
             yield pa.record_batch([pa.array(texts, type=pa.string())], names=["text"])
 
-    chosen = docs.select("text").filter("text <> ''").orderBy(F.xxhash64("text"), "text").limit(sample)
+    h = F.xxhash64("text")
+    chosen = drawn(docs.select("text"), h, 8 * sample).filter("text <> ''").distinct().orderBy(h, "text").limit(sample)
     return train(tuple(r.text for r in chosen.mapInArrow(cut, "text string").orderBy("text").collect()))
 
 

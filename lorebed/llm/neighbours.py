@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, sampled
 
 SAMPLE = 8_000
 WIDTHS = (0.6, 0.8, 1.0, 1.2, 1.4, 1.7, 2.0, 2.4, 2.8, 3.4, 4.0, 5.0, 6.0)  # in units of the sample's distances
@@ -171,8 +171,8 @@ def search(
     distinct = durable(distinct.select(F.col("ids")[0].alias("rep"), "embedding", "ids"), "vectors")
     asked = own.filter(is_query)
     asked_distinct = durable(asked.groupBy("embedding").agg(F.min("vec_id").alias("q")), "queries")
-    rows = distinct.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
-    hashes = fit(_matrix(rows.column(0)), k, recall, tables, projections, probes)
+    rows = sampled(distinct.select("rep", "embedding"), F.xxhash64("rep"), sample).toArrow()
+    hashes = fit(_matrix(rows.column(1)), k, recall, tables, projections, probes)
     shared = spark.sparkContext.broadcast(hashes)  # dims * tables * projections numbers
 
     def filed(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, sampled
 from .tokens import slices
 
 WORDS = 1 << 15
@@ -173,8 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     bound_batches(docs.sparkSession)
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = [(r.doc_id, r.quality) for r in chosen.collect()]
+    rows = [(r.doc_id, r.quality) for r in sampled(usable, F.xxhash64("doc_id"), sample).collect()]
     if not rows:
         return FactorisationMachine.constant()
     chosen = docs.sparkSession.createDataFrame(rows, "doc_id long, quality int")

@@ -10,6 +10,15 @@ def test_durable_tables_are_in_the_shared_folder(spark):
     assert common.shared_dir(spark).replace("file:", "") in path.replace("file://", "")
 
 
+def test_samples_are_the_least_by_their_hash(spark):
+    rows = spark.range(20_000)
+    h = F.xxhash64("id")
+    whole = sorted((r.h & (1 << 64) - 1) >> 1 for r in rows.select(h.alias("h")).collect())
+    for size in (0, 1, 100, 30_000):
+        got = common.sampled(rows, h, size).select(h.alias("h")).collect()
+        assert sorted((r.h & (1 << 64) - 1) >> 1 for r in got) == whole[:size]
+
+
 def test_small_sides_are_counted_before_they_are_broadcast(spark, capsys):
     left, right = spark.range(100), spark.range(10)
     left.join(common.small(right, 10), "id").explain("extended")
