@@ -12,7 +12,7 @@ from .functions import text as tx
 from .operators import catalog, chunks, classify, document_types, extract, graph, ingest, models, papers, search, sessions, stats, sync, validate
 from .plans.answer import answer
 from .sources import archives
-from .sources.tables import corpus, table, vector_store
+from .sources.tables import corpus, spread, table, vector_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -952,13 +952,13 @@ def pca_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rule_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir).withColumn("url", F.lit(""))
+    docs = spread(corpus(spark, sf_dir).withColumn("url", F.lit("")))
     return document_types.classify(docs).select("doc_id", F.explode("types").alias("t")).select("doc_id", "t.type", "t.confidence")
 
 
 @query()
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_types.report(document_types.classify(corpus(spark, sf_dir).withColumn("url", F.lit(""))))
+    return document_types.report(document_types.classify(spread(corpus(spark, sf_dir).withColumn("url", F.lit("")))))
 
 
 @query()

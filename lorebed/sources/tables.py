@@ -20,3 +20,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as (id, embedding, source); a label is a source."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few splits dealt over all cores, for work that costs far more than moving the rows; one of many splits stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
